@@ -45,7 +45,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterable[pa.RecordBatch], max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], max_bytes: int = 700_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches with a column text, cut so that each holds about max_bytes of it (or one document)."""
     for batch in batches:
         size = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))

@@ -83,7 +83,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
     def mark(batches):
         import pyarrow as pa
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 1_500_000):
             batch = batch.filter(batch.column("doc_id").is_valid())
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             sizes = np.array([len(t) for t in raw], np.int64)

@@ -11,7 +11,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids are kept as they are; an empty table
-    gives an empty one. A special token's string inside a text is one token. No shuffle; a task holds about 2 MB of text
+    gives an empty one. A special token's string inside a text is one token. No shuffle; a task holds about 0.7 MB of text
     (or one document) at a time and a book of at most 600,000 words.
     """
 

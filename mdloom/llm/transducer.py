@@ -172,6 +172,8 @@ class Counter:
     def fits(self, last: bytes, token: bytes) -> bool:
         key = (last, token)
         if (known := self.agrees.get(key)) is None:
+            if len(self.agrees) > 200_000:
+                self.agrees.clear()
             known = self.agrees[key] = self.merged(last + token) == ([last, token] if last else [token])
         return known
 
@@ -196,7 +198,7 @@ class Counter:
         return move
 
     def count(self, word: bytes) -> int:
-        if len(self.content) > 300_000:
+        if len(self.content) > 150_000:
             self.reset()
         moves, state, total = self.moves, 0, 0
         for byte in word:

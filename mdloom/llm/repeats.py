@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
         doc, tag, start, end = doc[order], tag[order], start[order].astype(np.int64), end[order].astype(np.int64)
         lo = {}
         head = np.flatnonzero(first_of_runs(doc, tag) == np.arange(len(doc))) if len(doc) else np.empty(0, int)
-        for a, b in zip(head, [*head[1:], len(doc)], strict=True):
+        for a, b in zip(head, [*head[1:], len(doc)][: len(head)], strict=True):
             lo[doc[a], tag[a]] = (a, b)
         kept, removed, runs = [], [], []
         for key_, t, mine in zip(text["doc_id"], raw, tags(raw), strict=True):

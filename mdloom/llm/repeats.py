@@ -76,14 +76,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
     of one passage spread over as many buckets as it has anchors, and a bucket holds arrays, not rows.
     """
     spark, kinds = docs.sparkSession, dict(docs.dtypes)
-    buckets, groups = 2 * partitions(spark), 4 * partitions(spark)
+    buckets, groups = 4 * partitions(spark), 4 * partitions(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
     base = base.withColumn("g", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int"))
 
     def mark(batches):
         import pyarrow as pa
 
-        for batch in pieces(batches, 1_500_000):
+        for batch in pieces(batches, 1_000_000):
             batch = batch.filter(batch.column("doc_id").is_valid())
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             sizes = np.array([len(t) for t in raw], np.int64)
@@ -127,13 +127,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
             return pd.DataFrame({"bucket": pd.array([], "int32"), "marks": []})
         doc, tag, g, place, left, right = unpack_all(open_["rows"], *PLACES)
         data, begin, size = joined(text, doc, tag)
-        at = begin + place
-        span = np.arange(-reach, length)
-        index = at[:, None] + span
-        inside = (span >= -left.astype(int)[:, None]) & (span < right.astype(int)[:, None])
-        table = np.where(inside, data[np.clip(index, 0, max(0, len(data) - 1))], 0).astype(np.uint8)
+        at, span = begin + place, np.arange(-reach, length)
+        table = np.zeros((len(at), length + reach), np.uint8)
+        for a in range(0, len(at), 4096):  # a block at a time: positions take eight times their bytes
+            b = a + 4096
+            inside = (span >= -left[a:b].astype(int)[:, None]) & (span < right[a:b].astype(int)[:, None])
+            table[a:b] = np.where(inside, data[np.clip(at[a:b, None] + span, 0, len(data) - 1)], 0)
         bucket = mix(Ranges2(SALT[table[:, reach : reach + gram]])) % np.uint64(buckets)
-        table = np.ascontiguousarray(table).view(f"V{length + reach}")[:, 0]
+        table = table.view(f"V{length + reach}")[:, 0]
         rows = [(k, b) for k, b in packed_by(bucket.astype(np.int64), doc, tag, g, place, left, right, table)]
         return pd.DataFrame(rows, columns=["bucket", "marks"]).astype({"bucket": "int32"})
 
@@ -142,20 +143,28 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
 
         doc, tag, g, place, left, right, table = unpack_all(frame["marks"], *PLACES, f"V{length + reach}")
         table = np.ascontiguousarray(table).view(np.uint8).reshape(-1, length + reach)
-        values = SALT[table] * Ranges.power(Ranges.base, length + reach)[: length + reach]
-        total = np.concatenate([np.zeros((len(table), 1), np.uint64), np.cumsum(values, 1)], 1)
-        rows, hashes = [], []
+        weights = Ranges.power(Ranges.base, length)
+        back, top = Ranges.inverse, weights[length - 1]
+        h = np.zeros(len(table), np.uint64)
+        for j in range(length):
+            h += SALT[table[:, j]] * weights[j]
+        # Equal windows hold this anchor at one offset, so each offset is judged by itself; the windows of one anchor all
+        # overlap, so its first and last repeated ones bound what is removed.
+        first, last = np.full(len(table), -1, np.int64), np.full(len(table), -1, np.int64)
         for o in range(reach + 1):
             fit = np.flatnonzero((reach - o <= left) & (o + gram <= right))
-            rows.append(np.stack([fit, np.full(len(fit), o)], 1))
-            hashes.append(mix((total[fit, o + length] - total[fit, o]) * Ranges.power(Ranges.inverse, o + 1)[o]))
-        rows, hashes = np.concatenate(rows), np.concatenate(hashes)
-        who = doc[rows[:, 0]]
-        order = np.lexsort((who, hashes))
-        over = order[who[order] > who[order][first_of_runs(hashes[order])]]
-        i = rows[over, 0]
-        start = place[i].astype(np.int64) - reach + rows[over, 1]
-        merged = merged_spans(doc[i], tag[i], g[i], start, start + length)
+            if len(fit):
+                full = mix(h[fit])
+                order = np.lexsort((doc[fit], full))
+                i = fit[order]
+                over = i[doc[i] > doc[i][first_of_runs(full[order])]]
+                first[over] = np.where(first[over] < 0, o, first[over])
+                last[over] = o
+            if o < reach:
+                h = (h - SALT[table[:, o]]) * back + SALT[table[:, o + length]] * top
+        i = np.flatnonzero(last >= 0)
+        start = place[i].astype(np.int64) - reach
+        merged = merged_spans(doc[i], tag[i], g[i], start + first[i], start + last[i] + length)
         out = [(k, 0, b) for k, b in packed_by(merged[2], merged[0], merged[1], merged[3].astype("<u4"), merged[4].astype("<u4"))]
         return pd.DataFrame(out, columns=["g", "kind", "rows"]).astype({"g": "int32", "kind": "int32"})
 

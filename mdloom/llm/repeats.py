@@ -18,13 +18,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import Ranges, mix, pack, packed_by, partitions, pieces, unpack_all, written
+from mdloom.llm.common import Ranges, mix, packed_by, partitions, pieces, unpack_all, written
 from mdloom.llm.decontaminate import sliding
 
 SALT = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
 MARKS = ("<u4", "<u8", "<i8", "<i8", "<i4", "<u4", "u1", "u1")
-SPANS = ("<i8", "<i8", "<u4", "<u4")
 PLACES = ("<i8", "<i8", "<i4", "<u4", "u1", "u1")
+#: Kind 0: a repeated span from a to b; kind 1: an anchor at a to look at further, with b bytes before it and c from it.
+FOUND = "g int, kind int, doc long, tag long, a int, b int, c int"
 
 
 def tags(texts_: list[bytes]) -> np.ndarray:
@@ -106,18 +107,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
         docs_differ = np.zeros(len(doc), bool)
         np.logical_or.at(docs_differ, head, doc != doc[head])
         over = doc > least
-        out = []
-        for kind, rows in ((0, over), (1, ~over & (many & docs_differ)[head])):
-            i = order[rows]
-            if kind == 0:
-                merged = merged_spans(doc[rows], tag[i], g[i], place[i].astype(np.int64) - left[i], place[i].astype(np.int64) + right[i])
-                out += [(k, 0, b) for k, b in packed_by(merged[2], merged[0], merged[1], merged[3].astype("<u4"), merged[4].astype("<u4"))]
-            else:
-                out += [(k, 1, b) for k, b in packed_by(g[i], doc[rows], tag[i], g[i], place[i], left[i], right[i])]
-        return pd.DataFrame(out, columns=["g", "kind", "rows"]).astype({"g": "int32", "kind": "int32"})
+        i = order[over]
+        merged = merged_spans(doc[over], tag[i], g[i], place[i].astype(np.int64) - left[i], place[i].astype(np.int64) + right[i])
+        open_ = ~over & (many & docs_differ)[head]
+        i = order[open_]
+        return pd.concat([span_rows(0, *merged), span_rows(1, doc[open_], tag[i], g[i], place[i], left[i], right[i])])
 
     marks = base.mapInArrow(mark, "bucket int, marks binary")
-    found = written(marks.groupBy("bucket").applyInPandas(group, "g int, kind int, rows binary"), "repeats")
+    found = written(marks.groupBy("bucket").applyInPandas(group, FOUND), "repeats")
     reach = length - gram
 
     def around(key, text, open_):
@@ -125,7 +122,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
 
         if not len(open_) or not len(text):
             return pd.DataFrame({"bucket": pd.array([], "int32"), "marks": []})
-        doc, tag, g, place, left, right = unpack_all(open_["rows"], *PLACES)
+        doc, tag, g, place, left, right = (open_[c].to_numpy(k) for c, k in zip(("doc", "tag", "g", "a", "b", "c"), PLACES, strict=True))
         data, begin, size = joined(text, doc, tag)
         at, span = begin + place, np.arange(-reach, length)
         table = np.zeros((len(at), length + reach), np.uint8)
@@ -165,12 +162,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
         i = np.flatnonzero(last >= 0)
         start = place[i].astype(np.int64) - reach
         merged = merged_spans(doc[i], tag[i], g[i], start + first[i], start + last[i] + length)
-        out = [(k, 0, b) for k, b in packed_by(merged[2], merged[0], merged[1], merged[3].astype("<u4"), merged[4].astype("<u4"))]
-        return pd.DataFrame(out, columns=["g", "kind", "rows"]).astype({"g": "int32", "kind": "int32"})
+        return span_rows(0, *merged)
 
     by_group = base.groupBy("g")
     near = by_group.cogroup(found.where("kind = 1").groupBy("g")).applyInPandas(around, "bucket int, marks binary")
-    single = near.groupBy("bucket").applyInPandas(windows, "g int, kind int, rows binary")
+    single = near.groupBy("bucket").applyInPandas(windows, FOUND)
     spans = found.where("kind = 0").unionByName(single)
 
     def cut(key, text, spans_):
@@ -178,9 +174,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
 
         text = text.reset_index(drop=True)
         raw = [t.encode() for t in text["text"]]
-        doc, tag, start, end = unpack_all(spans_["rows"], *SPANS) if len(spans_) else [np.empty(0, k) for k in SPANS]
+        doc, tag, start, end = (spans_[c].to_numpy(np.int64) for c in ("doc", "tag", "a", "b"))
         order = np.lexsort((tag, doc))
-        doc, tag, start, end = doc[order], tag[order], start[order].astype(np.int64), end[order].astype(np.int64)
+        doc, tag, start, end = doc[order], tag[order], start[order], end[order]
         lo = {}
         head = np.flatnonzero(first_of_runs(doc, tag) == np.arange(len(doc))) if len(doc) else np.empty(0, int)
         for a, b in zip(head, [*head[1:], len(doc)][: len(head)], strict=True):
@@ -210,6 +206,13 @@ def Ranges2(values: np.ndarray) -> np.ndarray:
     return (values * Ranges.power(Ranges.base, values.shape[1])[: values.shape[1]]).sum(1, dtype=np.uint64)
 
 
+def span_rows(kind: int, doc, tag, g, a, b, c=0):
+    """Rows, not arrays by group: their number follows the text, not the buckets times the groups."""
+    import pandas as pd
+
+    return pd.DataFrame({"g": g, "kind": kind, "doc": doc, "tag": tag, "a": a, "b": b, "c": c}).astype({k: "int32" for k in ("g", "kind", "a", "b", "c")})
+
+
 def merged_spans(doc, tag, g, start, end):
     """Spans of one document that touch or overlap, joined: (doc, tag, g, start, end)."""
     order = np.lexsort((start, tag, doc))

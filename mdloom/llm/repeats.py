@@ -34,26 +34,34 @@ def tags(texts_: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(t) for t in texts_], np.uint64).astype(np.int64)
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, place in it, bytes of its windows before and from the place, hash of the q-gram, of all those bytes)."""
-    begin = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    ranges = Ranges(SALT[data])
-    g = ranges.every(gram)
+def anchors(data: np.ndarray, sizes: np.ndarray, length: int, gram: int, block: int = 1 << 17) -> tuple[np.ndarray, ...]:
+    """(document, place in it, bytes of its windows before and from the place, hash of the q-gram, of all those bytes).
+
+    Taken block by block, each with the bytes that windows over its edges need, so memory doesn't follow the longest text.
+    """
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
     w = length - gram + 1
-    if len(data) < length:
-        at = np.empty(0, np.int64)
-    else:
-        least = np.where(owner[: len(data) - length + 1] == owner[length - 1 :], sliding(g, w, np.minimum), np.uint64(0))
-        edge = np.zeros(w - 1, np.uint64)
+    edge = np.zeros(w - 1, np.uint64)
+    out = [(*(np.empty(0, np.int64) for _ in range(4)), *(np.empty(0, np.uint64) for _ in range(2)))]
+    for start in range(0, len(data), block):
+        low, high = max(0, start - w + 1), min(len(data), start + block + length)
+        if high - low < length:
+            continue
+        owner = np.repeat(np.arange(len(sizes)), np.maximum(np.minimum(ends, high) - np.maximum(begin, low), 0))
+        ranges = Ranges(SALT[data[low:high]])
+        g = ranges.every(gram)
+        least = np.where(owner[: high - low - length + 1] == owner[length - 1 :], sliding(g, w, np.minimum), np.uint64(0))
         most = sliding(np.concatenate([edge, least, edge]), w, np.maximum)[: len(g)]
         at = np.flatnonzero((g == most) & (most > 0))
-    doc = owner[at]
-    place = at - begin[doc]
-    left = np.minimum(length - gram, place)
-    right = np.minimum(length, sizes[doc] - place)
-    around = mix(ranges.of(at - left, at + right) ^ (left * 256 + right).astype(np.uint64))
-    return doc, place, left, right, g[at], around
+        at = at[(at >= start - low) & (at < start - low + block)]
+        doc = owner[at]
+        place = at + low - begin[doc]
+        left = np.minimum(length - gram, place)
+        right = np.minimum(length, sizes[doc] - place)
+        around = mix(ranges.of(at - left, at + right) ^ (left * 256 + right).astype(np.uint64))
+        out.append((doc, place, left, right, g[at], around))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def first_of_runs(*keys: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from mdloom.llm.language_model import score_documents
 from mdloom.llm.packing import pack_documents, pack_histogram
 from mdloom.llm.quality import learn_quality, score_quality
 from mdloom.llm.queries import ORACLES, QUERIES, quality_labels
-from mdloom.llm.repeats import repeated_spans
+from mdloom.llm.repeats import anchors, repeated_spans
 from mdloom.llm.token_counts import token_counts
 from mdloom.llm.token_files import read_token_files, write_token_files
 from mdloom.llm.url_filter import url_verdicts
@@ -197,6 +197,16 @@ def test_repeated_spans_keeps_rows_without_id(spark):
     assert repeated_spans(df.limit(0)).count() == 0
 
 
+def test_anchors_do_not_depend_on_blocks():
+    rng = np.random.default_rng(1)
+    for sizes in ([], [0, 3, 0], [50], [700, 0, 51, 49, 120]):
+        sizes = np.array(sizes, np.int64)
+        data = rng.integers(97, 100, sizes.sum(), dtype=np.uint8)
+        whole = anchors(data, sizes, 50, 22)
+        for block in (1, 7, 50, 300):
+            assert all(np.array_equal(a, b) for a, b in zip(whole, anchors(data, sizes, 50, 22, block), strict=True))
+
+
 def test_quality(spark):
     data = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_SCHEMA = "doc_id long, text string"
+HEAVIEST = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_counted(df: DataFrame, by_key: DataFrame, on: list[str], count: str) -> DataFrame:
+    """df joined with one row per key, which holds in column count how many rows of df have that key.
+
+    The keys with most rows are broadcast; any other has at most a HEAVIEST-th of df, so that no task of the join that
+    shuffles follows one key's rows.
+    """
+    top = written(by_key.orderBy(F.desc(count), *on).limit(HEAVIEST), "heaviest")
+    out = df.join(F.broadcast(top), on)
+    rest = by_key.join(F.broadcast(top.select(on)), on, "left_anti")
+    if rest.isEmpty():
+        return out
+    return out.unionByName(df.join(F.broadcast(top.select(on)), on, "left_anti").join(rest, on))
+
+
 def pieces(batches: Iterable[pa.RecordBatch], max_bytes: int = 700_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches with a column text, cut so that each holds about max_bytes of it (or one document)."""
     for batch in batches:

@@ -15,9 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import components, partitions, written
+from mdloom.llm.common import components, join_counted, partitions, written
 
-CHUNK = 2000
+CHUNK, SEATS = 2000, 16_000
 SLACK = 1e-7
 
 
@@ -85,8 +85,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
     Vectors that are null, empty, zero or hold null or non-finite components, and those with a null id, link with nothing
     and are their own component; so do vectors of different lengths with each other. Equal vectors are joined once and
     counted as often as they occur; an empty table gives an empty one. The number of axes of the grid grows with the
-    logarithm of the distinct vectors, homes in a cell are dealt in chunks of 2,000, and only sums and the edges of each task's
-    own spanning forest leave a task.
+    logarithm of the distinct vectors. Homes in a cell are dealt in chunks of about 2,000 and all its vectors in chunks of about
+    16,000; a task holds one of each, whatever the cell's size, and only sums and the edges of its own spanning forest leave it.
     """
     spark = vectors.sparkSession
     narrow = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
@@ -132,10 +132,18 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
             yield pa.RecordBatch.from_arrays([pa.array(dim, pa.int32()), pa.array(block, pa.int32()), pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), *(batch.column(c).take(i) for c in ("id", "n", "raw"))], ["dim", "block", "cell", "home", "id", "n", "raw"])
 
     dealt = written(classes.repartition(partitions(spark)).mapInArrow(cells, "dim int, block int, cell long, home boolean, id long, n long, raw binary"), "cells")
-    sizes = dealt.where("home").groupBy("dim", "block", "cell").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    tasks = dealt.join(sizes, ["dim", "block", "cell"])
-    own = F.pmod(F.xxhash64("id"), "chunks")
-    tasks = tasks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("home", F.col("home") & (own == F.col("chunk")))
+    sizes = dealt.groupBy("dim", "block", "cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes")).where("homes > 0")
+    sizes = sizes.withColumn("homes", F.ceil(F.col("homes") / CHUNK)).withColumn("others", F.ceil(F.col("rows") / SEATS))
+    tasks = join_counted(dealt, written(sizes, "sizes"), ["dim", "block", "cell"], "rows")
+    own, seat = F.pmod(F.xxhash64("id"), "homes"), F.pmod(F.xxhash64("id", F.lit(3)), "others")
+
+    def upto(c: str):
+        return F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+
+    as_home = F.when(F.col("home"), F.transform(upto("others"), lambda o: F.struct(own.alias("chunk"), o.alias("other"))))
+    as_other = F.transform(upto("homes"), lambda h: F.struct(h.alias("chunk"), seat.alias("other")))
+    tasks = tasks.withColumn("own", own).withColumn("seat", seat).withColumn("at", F.explode(F.array_distinct(F.concat(F.coalesce(as_home, F.array().cast("array<struct<chunk:long,other:long>>")), as_other))))
+    tasks = tasks.select("dim", "block", "cell", "at.chunk", "at.other", (F.col("home") & (F.col("own") == F.col("at.chunk"))).alias("home"), (F.col("seat") == F.col("at.other")).alias("seated"), "id", "n", "raw")
 
     def join(key, frame):
         import pandas as pd
@@ -144,7 +152,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
         ids, weight = frame["id"].to_numpy(), frame["n"].to_numpy()
         grid = Grid(dim, width, axes, budget)
         x = unit(frame["raw"].tolist(), kind)
-        home = np.flatnonzero(frame["home"].to_numpy())
+        home, seated = np.flatnonzero(frame["home"].to_numpy()), np.flatnonzero(frame["seated"].to_numpy())
         links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
 
         def root(i: int) -> int:
@@ -154,8 +162,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
             return i
 
         edges = []
-        for p, q in linked(x[home], x, grid, block, threshold, budget):
-            p = home[p]
+        for p, q in linked(x[home], x[seated], grid, block, threshold, budget):
+            p, q = home[p], seated[q]
             apart = ids[p] != ids[q]
             p, q = p[apart], q[apart]
             np.add.at(links, p, weight[q])
@@ -168,7 +176,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
         out = [(int(ids[i]), None, int(links[i])) for i in found] + [(a, b, None) for a, b in edges]
         return pd.DataFrame(out, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "Int64"})
 
-    found = written(tasks.groupBy("dim", "block", "cell", "chunk").applyInPandas(join, "a long, b long, n long"), "links")
+    found = written(tasks.groupBy("dim", "block", "cell", "chunk", "other").applyInPandas(join, "a long, b long, n long"), "links")
     links = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     labels = components(found.where("b is not null").select("a", "b"), "vectors").withColumnRenamed("node", "id")
     per_class = classes.select("key", "id", "n").join(links, "id", "left").join(labels, "id", "left")

@@ -9,6 +9,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from mdloom.llm import common
+from mdloom.llm import embedding_links as E
 from mdloom.llm import jaccard_join as J
 from mdloom.llm.decontaminate import contamination, words_of
 from mdloom.llm.embedding_links import embedding_links
@@ -253,6 +255,26 @@ def test_embedding_links(spark):
     assert embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_links_deals_both_sides_of_a_dense_cell(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal(24) + 0.22 * rng.standard_normal((400, 24))
+    near = (unit := x / np.sqrt((x * x).sum(1))[:, None]) @ unit.T >= 0.95
+    whole = E.linked
+
+    def bounded(home, others, *rest):
+        assert len(home) <= 60 and len(others) <= 60, (len(home), len(others))
+        return whole(home, others, *rest)
+
+    monkeypatch.setattr(E, "linked", bounded)
+    monkeypatch.setattr(E, "CHUNK", 20)
+    monkeypatch.setattr(E, "SEATS", 30, raising=False)
+    monkeypatch.setattr(common, "HEAVIEST", 3, raising=False)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    want = components_of(range(400), [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    assert got == {i: (int(near[i].sum()) - 1, want[i]) for i in range(400)}
+    assert 0 < near.sum() - 400 < 400 * 399
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 

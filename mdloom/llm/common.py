@@ -47,7 +47,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def join_counted(df: DataFrame, by_key: DataFrame, on: list[str], count: str) -> DataFrame:
-    """df joined with one row per key, which holds in column count how many rows of df have that key.
+    """df joined with one row for each of its keys, which holds in column count how many rows of df have that key (or a bound).
 
     The keys with most rows are broadcast; any other has at most a HEAVIEST-th of df, so that no task of the join that
     shuffles follows one key's rows.

@@ -132,9 +132,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
             yield pa.RecordBatch.from_arrays([pa.array(dim, pa.int32()), pa.array(block, pa.int32()), pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), *(batch.column(c).take(i) for c in ("id", "n", "raw"))], ["dim", "block", "cell", "home", "id", "n", "raw"])
 
     dealt = written(classes.repartition(partitions(spark)).mapInArrow(cells, "dim int, block int, cell long, home boolean, id long, n long, raw binary"), "cells")
-    sizes = dealt.groupBy("dim", "block", "cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes")).where("homes > 0")
+    sizes = dealt.groupBy("dim", "block", "cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes"))
     sizes = sizes.withColumn("homes", F.ceil(F.col("homes") / CHUNK)).withColumn("others", F.ceil(F.col("rows") / SEATS))
-    tasks = join_counted(dealt, written(sizes, "sizes"), ["dim", "block", "cell"], "rows")
+    tasks = join_counted(dealt, written(sizes, "sizes"), ["dim", "block", "cell"], "rows").where("homes > 0")
     own, seat = F.pmod(F.xxhash64("id"), "homes"), F.pmod(F.xxhash64("id", F.lit(3)), "others")
 
     def upto(c: str):

@@ -239,6 +239,50 @@ def test_jaccard_join(monkeypatch, docs, rows, sizes):
     assert J.jaccard_components(docs.limit(0)).count() == 0
 
 
+def template_docs(rng, n, template, half, shared):
+    """n documents of one template and two more parts each; with shared, each part is in two documents."""
+    words = [f"t{i}" for i in range(template)]
+    parts = [" ".join(f"p{rng.randrange(10**9)}" for _ in range(half)) for _ in range(n if shared else 2 * n)]
+    return [(i, " ".join([" ".join(words), parts[i], parts[(i + 1) % n if shared else n + i]])) for i in range(n)]
+
+
+def jaccard_of(texts):
+    lists = {i: t.split() for i, t in texts}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in lists.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components_of(list(sets), links)
+    return {i: (len(sets[i]), want[i]) for i in sets}
+
+
+def test_jaccard_join_makes_no_pivots_of_a_template(spark, monkeypatch):
+    texts = template_docs(random.Random(3), 150, 850, 75, False)
+    monkeypatch.setattr(J, "large_regions", lambda *a: pytest.fail("sets that can't link were compared"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == jaccard_of(texts) and {i for i, x in got.items() if x[1] != i} == set()
+
+
+def test_jaccard_join_hands_out_pivots_in_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = template_docs(rng, 120, 760, 120, True)
+    copies = [(200 + i, " ".join("y" if rng.random() < 0.006 else w for w in t.split())) for i, t in texts[:20]]
+    longer = [(300 + i, t + " " + " ".join(f"q{rng.randrange(10**9)}" for _ in range(150))) for i, t in texts[:10]]
+    texts += copies + longer
+    whole = J.Forest
+
+    class Bounded(whole):
+        def __init__(self, n):
+            assert n <= 60, n
+            self.parent = list(range(n))
+
+    monkeypatch.setattr(J, "Forest", Bounded)
+    monkeypatch.setattr(common, "HEAVIEST", 1, raising=False)
+    for name, value in (("SMALL", 2), ("CHUNK", 8), ("FIRST_PIVOTS", 2)):
+        monkeypatch.setattr(J, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = jaccard_of(texts)
+    assert got == want and 20 <= sum(x[1] != i for i, x in want.items())
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 24))

@@ -1,6 +1,7 @@
 """URL filters (5): host and path rules, and gradient-boosted trees on lexical features for the rest.
 
-The rules label what they fit; the trees learn from a bounded sample of those labelled URLs and judge the others.
+The rules label what they fit; the trees learn from a bounded sample of those labelled URLs and judge the others. One pair
+of features, the shares of blocked URLs by host suffix, is counted over all labelled rows.
 """
 
 import math
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mdloom.llm.common import join_counted, written
+
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
@@ -38,9 +41,8 @@ def rule_of(rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    labels = host.rsplit(".", 2)
-    return labels[-1], ".".join(labels[-2:])
+def suffix(labels: int) -> Column:
+    return F.substring_index("host", ".", -labels)
 
 
 def lexical(url: str, host: str, path: str) -> list[float]:
@@ -53,17 +55,10 @@ def lexical(url: str, host: str, path: str) -> list[float]:
     return [float(n), float(path.count("/")), digits / n if n else 0.0, entropy, float(len([x for x in query.split("&") if x])), float("#" in url), float(len(host)), float(host.count(".")), float(host.count("-")), float(url.startswith("https")), float(len(path)), float(len(first)), float(sum(map(ord, first[:2])))]
 
 
-def features(rates: dict[str, float], prior: float):
-    """A pandas UDF (url, host, path) -> features; rates: share of blocked URLs by host suffix."""
-
-    def run(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
-        out = []
-        for u, h, p in zip(url, host, path, strict=True):
-            a, b = suffixes(h)
-            out.append([*lexical(u or "", h, p), rates.get(a, prior), rates.get(b, prior)])
-        return pd.Series(out)
-
-    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def features(url: pd.Series, host: pd.Series, path: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:
+    """one, two: shares of blocked URLs by the host's last label and last two."""
+    return pd.Series([[*lexical(u or "", h, p), a, b] for u, h, p, a, b in zip(url, host, path, one, two, strict=True)])
 
 
 def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = 20_000, rounds: int = 10, depth: int = 4, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -71,31 +66,43 @@ def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = 20_000, roun
 
     Host and path are empty for null URLs and those without ``://``; such rows fit no rule and are judged by the trees like
     others. Repeated rows and null ids are judged one by one; an empty table gives an empty one. At most max_labelled
-    labelled rows, the first by a hash of the URL, are learnt from; with labels of one kind only, that is the verdict of
-    all others, and without labels it is allow. Only id and URL are read, and nothing is shuffled but that sample.
+    distinct labelled URLs are learnt from, the first of each verdict by a hash of the URL, in proportion but with a
+    twentieth of either at least; with labels of one kind only, that is the verdict of all others, and without labels it is
+    allow. Only id and URL are read. Counts by suffix, which all rows make, are joined back to the rows.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     name, verdict = rule_of(rules)
     ruled = with_parts(base, url_col).withColumn("rule", name).withColumn("verdict", verdict)
-    few = ruled.where("verdict is not null").orderBy(F.xxhash64("url"), "url", "page_id").limit(max_labelled)
-    rows = [(r.page_id, r.url, r.host, r.path, float(r.verdict == "block")) for r in few.select("page_id", "url", "host", "path", "verdict").collect()]  # at most max_labelled
-    kinds = {r[4] for r in rows}
-    if len(kinds) < 2:
-        only = "block" if kinds == {1.0} else "allow"
+    blocks = F.col("verdict") == "block"
+    distinct = ruled.where("verdict is not null").select("url", "host", "path", "verdict").distinct()
+    n = {r.verdict: r["count"] for r in distinct.groupBy("verdict").count().collect()}
+    if len(n) < 2:
+        only = next(iter(n), "allow")
         return ruled.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    seen: Counter = Counter()
-    blocked: Counter = Counter()
-    for r in rows:
-        for s in set(suffixes(r[2])):
-            seen[s] += 1
-            blocked[s] += r[4]
-    prior = sum(r[4] for r in rows) / len(rows)
-    rates = {s: (blocked[s] + 5 * prior) / (n + 5) for s, n in seen.items()}
-    vector = array_to_vector(features(rates, prior)("url", "host", "path"))
+    least = max(1, max_labelled // 20)
+    share = round(max_labelled * n["block"] / (n["block"] + n["allow"]))
+    most = {"block": max(min(least, n["block"]), min(share, max_labelled - min(least, n["allow"])))}
+    most["allow"] = max_labelled - most["block"]
+    rows = []  # at most max_labelled
+    for kind, top in most.items():
+        few = distinct.where(F.col("verdict") == kind).orderBy(F.xxhash64("url"), "url").limit(top)
+        rows += [(r.url, r.host, r.path, float(kind == "block")) for r in few.collect()]
+    each = ruled.select(F.explode(F.array_distinct(F.array(suffix(1), suffix(2)))).alias("suffix"), blocks.alias("label"))
+    seen = written(each.groupBy("suffix").agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.count_if("label").alias("blocked")), "suffixes")
+    total = ruled.where("verdict is not null").agg(F.avg(blocks.cast("double"))).first()[0]
+    rates = seen.select("suffix", "rows", ((F.col("blocked") + 5 * total) / (F.col("labelled") + 5)).alias("rate"))
+
+    def rated(df: DataFrame) -> DataFrame:
+        for i in (1, 2):
+            df = join_counted(df.withColumn("suffix", suffix(i)), rates, ["suffix"], "rows").drop("suffix", "rows").withColumnRenamed("rate", f"rate{i}")
+        return df
+
+    vector = array_to_vector(features("url", "host", "path", "rate1", "rate2"))
     spark = pages.sparkSession
-    known = spark.createDataFrame(rows, f"page_id {dict(base.dtypes)['page_id']}, url string, host string, path string, label double")
+    known = rated(spark.createDataFrame(rows, "url string, host string, path string, label double"))
+    known = spark.createDataFrame(sorted(known.collect()), known.schema)  # in one order, so that the fit is too
     model = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=7).fit(known.select(vector.alias("features"), "label").coalesce(2))
-    judged = model.transform(ruled.withColumn("features", vector))
+    judged = model.transform(rated(ruled).withColumn("features", vector))
     score = F.when(F.col("verdict").isNull(), F.get(vector_to_array("probability"), F.lit(1)))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("prediction") > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
 

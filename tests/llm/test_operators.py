@@ -174,6 +174,18 @@ def test_url_verdicts(spark):
     assert url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_verdicts_learn_from_distinct_urls(spark, monkeypatch):
+    urls = [f"http://h{i % 9}.shop{i % 7}.net/{'es' if i % 3 else 'x'}/{i}" for i in range(300)] + [f"http://a{i % 5}.com/p/{i}" for i in range(60)]
+    hot = spark.createDataFrame([(u,) for u in urls], "url string").where("url like '%/es/%' or url like '%.com/%'").orderBy(F.xxhash64("url")).first().url
+    pages = spark.createDataFrame(list(enumerate(urls + [hot] * 400)), "page_id long, url string")
+    out = {}
+    for heaviest in (1000, 2):
+        monkeypatch.setattr(common, "HEAVIEST", heaviest, raising=False)
+        out[heaviest] = sorted((r.page_id, r.verdict, r.score) for r in url_verdicts(pages, max_labelled=40).collect())
+    assert out[1000] == out[2] and len(out[2]) == 760
+    assert all(r[2] is not None for r in out[2] if "/x/" in urls[min(r[0], 359)])
+
+
 def test_repeated_spans(docs, rows):
     first: dict = {}
     for i, t in rows:

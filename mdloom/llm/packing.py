@@ -49,11 +49,13 @@ def pack_histogram(histogram: dict[int, int], limit: int) -> tuple[list[tuple[in
 def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A document's ids, with end_id after them, are cut every limit ids; null and empty texts are one id. Repeated rows and
-    null ids are packed like others; an empty table gives an empty one. Texts are encoded once, into a small table
-    of pieces in the shared folder; a piece's rank among those of its length is the prefix sum over (length, chunk) of
-    chunk counts plus its place within its chunk, so no length's pieces meet in one task. The driver sees the histogram: one
-    row per length, at most limit.
+    A document's ids, with end_id after them, are cut every limit ids; null and empty texts are one id; a very long text is
+    many pieces. Repeated rows and null ids are packed like others; pieces of one length are placed in the order of the
+    table; an empty table gives an empty one; only the id and the text are read, so further columns may have any name.
+    Texts are encoded once, into a small table of pieces in the shared folder; a piece's rank among those of its length is
+    prefix sums of counts, over the partitions, over the chunks of its partition and within its chunk. What the first of
+    these takes to one task is a row per partition, never the pieces. The driver sees the histogram: one row per length, at
+    most limit.
     """
     spark = docs.sparkSession
 
@@ -63,10 +65,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_
 
         from mdloom.llm.words import id_book
 
-        book, part = None, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         for n, batch in enumerate(pieces(batches)):
-            book = book or id_book(tokenizer_path, end_id)
-            ids, sizes = book.encode(batch.column("text").to_pylist())
+            ids, sizes = id_book(tokenizer_path, end_id).encode(batch.column("text").to_pylist())
             raw, ends = ids.astype("<u4"), np.cumsum(sizes)
             count = -(-sizes // limit)
             doc = np.repeat(np.arange(len(sizes)), count)
@@ -82,8 +83,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(sizes[doc]), pa.array(chunk), pa.array(nth)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "chunk", "nth"])
 
     cuts = written(texts(docs, id_col, text_col).mapInArrow(cut, PIECES), "pieces")
-    counts = cuts.groupBy("length", "chunk").agg(F.count("*").alias("n"))
-    before = counts.withColumn("base", F.sum("n").over(W.partitionBy("length").orderBy("chunk")) - F.col("n")).drop("n")
+    part = F.shiftright("chunk", 32)
+    counts = written(cuts.groupBy("length", "chunk").agg(F.count("*").alias("n")).withColumn("part", part), "counts")
+    parts = counts.groupBy("length", "part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("earlier", F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
+    before = counts.withColumn("base", F.sum("n").over(W.partitionBy("length", "part").orderBy("chunk")) - F.col("n")).join(parts, ["length", "part"])
+    before = before.select("length", "chunk", (F.col("base") + F.col("earlier")).alias("base"))
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _ = pack_histogram(histogram, limit)
     slots.sort()
@@ -93,17 +98,21 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_
         where[length] = tuple(np.array([s[i] for s in own], np.int64) for i in (1, 3, 4))
     shared = spark.sparkContext.broadcast(where)  # at most a few slots for each group of packs: bounded by limit alone
 
-    def place(frames):
-        for frame in frames:
-            rank = (frame["base"] + frame["nth"]).to_numpy()
-            length = frame["length"].to_numpy()
-            sequence, offset = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rank = batch.column("base").to_numpy() + batch.column("nth").to_numpy()
+            length = batch.column("length").to_numpy()
+            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for x in np.unique(length):
                 at = length == x
                 first, seq, off = shared.value[int(x)]
                 slot = np.searchsorted(first, rank[at], side="right") - 1
                 sequence[at], offset[at] = seq[slot] + rank[at] - first[slot], off[slot]
-            yield frame[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].assign(length=length.astype(np.int64), sequence_id=sequence, offset=offset)
+            columns = [batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")]
+            columns[2] = columns[2].cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     ranked = cuts.join(before, ["length", "chunk"])
-    return ranked.mapInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -11,7 +11,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit.
 
     Null and empty texts have 0 bytes and 0 tokens; repeated rows and null ids are kept as they are; an empty table
-    gives an empty one. A special token's string inside a text is one token. No shuffle; a task holds about 0.7 MB of text
+    gives an empty one; only the id and the text are read, so further columns may have any name. A special token's string inside a text is one token. No shuffle; a very long text is counted
+    whole; a task holds about 0.7 MB of text
     (or one document) at a time and a book of at most 600,000 words.
     """
 
@@ -20,9 +21,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
         from mdloom.llm.words import count_book
 
-        book = None
         for batch in pieces(batches):
-            book = book or count_book(tokenizer_path)
+            book = count_book(tokenizer_path)
             text = batch.column("text")
             n_bytes = pa.compute.binary_length(text).cast(pa.int64())
             n = pa.array(book.sums(text.to_pylist()), pa.int64())

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import pieces, texts
+from mdloom.llm.common import mix, pieces, texts
 
 #: Kinds of bytes: a-z, A-Z, digits, spaces, sentence marks, "!", "|", other ASCII marks, bytes from 0x80, controls.
 KINDS = 10
@@ -132,59 +132,86 @@ def fit(features: list[np.ndarray], labels: list[int], rounds: int = 120, rate:
 
 
 def line_sample(docs: DataFrame, labels: DataFrame, max_docs: int, max_lines: int) -> DataFrame:
-    """Labelled documents to learn from: doc_id, label, lines, features; the first max_docs labelled ids in the order
-    of a hash, without documents of more than max_lines lines. labels: doc_id, label."""
-    few = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_docs)
+    """Labelled documents to learn from: doc_id, label, features of at most max_lines successive lines, from a place that a hash
+    chooses; the first max_docs labelled ids in the order of a hash. labels: doc_id, label."""
+    share = min(1.0, (1.2 * max_docs + 100) / max(1, labels.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    few = labels.where(place <= int(share * (1 << 30))).orderBy(place, "doc_id", "label").limit(max_docs)
     chosen = texts(docs).join(F.broadcast(few), "doc_id")  # at most max_docs rows
-    chosen = chosen.where(F.length(F.translate("text", "\n", "")) >= F.length("text") - max_lines)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in pieces(batches):
             x, _, counts = line_features(batch.column("text").to_pylist())
-            ends = np.cumsum(counts)
-            raw = [x[e - c : e].astype(np.float32).tobytes() for c, e in zip(counts, ends, strict=True)]
+            begin = np.cumsum(counts) - counts + place_in(batch.column("doc_id").to_numpy(), counts - max_lines)
+            raw = [x[a : a + n].astype(np.float32).tobytes() for a, n in zip(begin, np.minimum(counts, max_lines), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(raw, pa.binary())], ["doc_id", "label", "features"])
 
     return chosen.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, features binary")
 
 
+def place_in(ids: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """A place from 0 to room for each id."""
+    return (mix(ids.astype(np.uint64)) % (np.maximum(room, 0) + 1).astype(np.uint64)).astype(np.int64)
+
+
 def learn_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_lines: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """A model from a bounded sample: at most max_docs documents of at most max_lines lines each reach the driver."""
+    """A model from a bounded sample: at most max_lines lines of each of at most max_docs documents reach the driver (of
+    rows that repeat an id, each). Labels other than 0 and 1 and null ids are left out; without any, all scores are 0.5."""
     rows = sorted(line_sample(docs, labels.where("doc_id is not null and label in (0, 1)"), max_docs, max_lines).collect(), key=lambda r: (r.doc_id, r.label, r.features))
     if not rows:
         return np.zeros(WIDTH), np.zeros((2, 2))
     return fit([np.frombuffer(r.features, np.float32).reshape(-1, WIDTH) for r in rows], [r.label for r in rows])
 
 
+def scores_of(texts_: list[str], model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    weights, move = model
+    x, size, counts = line_features(texts_)
+    score = x @ weights
+    begin = np.cumsum(counts) - counts
+    out = np.empty(len(counts))
+    order = np.argsort(counts, kind="stable")
+    at = 0
+    while at < len(order):
+        end = len(order)
+        while end - at > 1 and (end - at) * counts[order[end - 1]] > 200_000:
+            end = at + (end - at + 1) // 2
+        g = order[at:end]
+        i = np.concatenate([np.arange(begin[d], begin[d] + counts[d]) for d in g])
+        s, mask = padded(score[i], counts[g])
+        marginal, _, _ = forward_backward(s, mask, move)
+        weight, _ = padded(np.maximum(size[i], 1).astype(float), counts[g])
+        out[g] = (marginal * weight).sum(1) / weight.sum(1)
+        at = end
+    return np.clip(out, 0, 1)
+
+
 def score_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every row; null, empty and blank texts count as one line of no bytes. Repeated rows
-    and null ids are scored like others; an empty table gives an empty one. No shuffle; long documents are chained
-    line by line in groups of like length, so a task's memory follows its longest document."""
-    weights, move = model
+    and null ids are scored like others, equal texts alike; an empty table gives an empty one. Only the id and the text are read,
+    so further columns may have any name. No shuffle; long documents are chained line by line in groups of like length, so
+    a task's memory follows its longest document."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in pieces(batches):
-            x, size, counts = line_features(batch.column("text").to_pylist())
-            score = x @ weights
-            begin = np.cumsum(counts) - counts
-            out = np.empty(len(counts))
-            order = np.argsort(counts, kind="stable")
-            at = 0
-            while at < len(order):
-                end = len(order)
-                while end - at > 1 and (end - at) * counts[order[end - 1]] > 200_000:
-                    end = at + (end - at + 1) // 2
-                g = order[at:end]
-                i = np.concatenate([np.arange(begin[d], begin[d] + counts[d]) for d in g])
-                s, mask = padded(score[i], counts[g])
-                marginal, _, _ = forward_backward(s, mask, move)
-                weight, _ = padded(np.maximum(size[i], 1).astype(float), counts[g])
-                out[g] = (marginal * weight).sum(1) / weight.sum(1)
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(out, 0, 1))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores_of(batch.column("text").to_pylist(), model))], ["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, that score at least least. Each row is judged by its own text, whatever its id; no shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            text = pa.RecordBatch.from_arrays([batch.column(text_col).fill_null("")], ["text"])
+            score = [scores_of(piece.column("text").to_pylist(), model) for piece in pieces([text])]
+            if score:
+                yield batch.filter(pa.array(np.concatenate(score) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -68,7 +68,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = 20_000, roun
     others. Repeated rows and null ids are judged one by one; an empty table gives an empty one. At most max_labelled
     distinct labelled URLs are learnt from, the first of each verdict by a hash of the URL, in proportion but with a
     twentieth of either at least; with labels of one kind only, that is the verdict of all others, and without labels it is
-    allow. Only id and URL are read. Counts by suffix, which all rows make, are joined back to the rows.
+    allow. Only id and URL are read, so further columns may have any name; an empty URL is judged by the trees, a very long one
+    whole; equal URLs get equal verdicts. Counts by suffix, which all rows make, are joined back to the rows.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     name, verdict = rule_of(rules)
@@ -85,7 +86,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, max_labelled: int = 20_000, roun
     most["allow"] = max_labelled - most["block"]
     rows = []  # at most max_labelled
     for kind, top in most.items():
-        few = distinct.where(F.col("verdict") == kind).orderBy(F.xxhash64("url"), "url").limit(top)
+        place = F.pmod(F.xxhash64("url"), F.lit(1 << 30))  # few rows beyond those taken go to the driver
+        few = distinct.where((F.col("verdict") == kind) & (place <= int(min(1.0, (1.2 * top + 100) / n[kind]) * (1 << 30)))).orderBy(place, "url").limit(top)
         rows += [(r.url, r.host, r.path, float(kind == "block")) for r in few.collect()]
     each = ruled.select(F.explode(F.array_distinct(F.array(suffix(1), suffix(2)))).alias("suffix"), blocks.alias("label"))
     seen = written(each.groupBy("suffix").agg(F.count("*").alias("rows"), F.count("label").alias("labelled"), F.count_if("label").alias("blocked")), "suffixes")

@@ -8,10 +8,11 @@ and count only where a whole window agrees word for word.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import mix, pieces
+from mdloom.llm.common import mix, pieces, written
 
 WINDOW = 13
 FILTER_BITS = 1 << 22
@@ -110,70 +111,70 @@ def fingerprints(lengths: list[int], keep: np.ndarray | None, whole_items: bool)
             rows.extend((i, None, None, None, None, None) for i in range(len(lists)) if i not in seen)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(sizes[np.array(cols[0], np.int64)]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.string())],
-                ["id", "n_words", "n", "hash", "place", "lead", "around"],
+                [*(batch.column(c).take(pa.array(cols[0], pa.int64())) for c in ("row", "id")), pa.array(sizes[np.array(cols[0], np.int64)]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.string())],
+                ["row", "id", "n_words", "n", "hash", "place", "lead", "around"],
             )
 
     return run
 
 
-SCHEMA = "id long, n_words long, n int, hash long, place int, lead int, around string"
+SCHEMA = "row long, id long, n_words long, n int, hash long, place int, lead int, around string"
 
 
-def extended(frames):
+def run_of(n: int, lead: int, a: list[str], b_lead: int, b: list[str]) -> tuple[int, int] | None:
+    """Equal words before and from the k-gram, if they fill a window."""
+    lo = hi = 0
+    while lo < lead and lo < b_lead and a[lead - lo - 1] == b[b_lead - lo - 1]:
+        lo += 1
+    while lead + hi < len(a) and b_lead + hi < len(b) and a[lead + hi] == b[b_lead + hi]:
+        hi += 1
+    return (lo, hi) if hi >= shape(n)[0] and lo + hi >= n else None
+
+
+def extended(batches):
     """Joined fingerprints to rows with the run of equal words around the k-gram, or null if it is shorter than a window."""
-    for frame in frames:
-        first, last = [], []
-        for n, place, lead, around, b_lead, b_around in zip(frame["n"], frame["place"], frame["lead"], frame["around"], frame["b_lead"], frame["b_around"], strict=True):
-            if not isinstance(b_around, str) or not isinstance(around, str):
-                first.append(None)
-                last.append(None)
-                continue
-            n, place, lead, b_lead = int(n), int(place), int(lead), int(b_lead)
-            a, b = around.split(" "), b_around.split(" ")
-            k, _ = shape(n)
-            lo = 0
-            while lo < lead and lo < b_lead and a[lead - lo - 1] == b[b_lead - lo - 1]:
-                lo += 1
-            hi = 0
-            while lead + hi < len(a) and b_lead + hi < len(b) and a[lead + hi] == b[b_lead + hi]:
-                hi += 1
-            fits = hi >= k and lo + hi >= n
-            first.append(place - lo if fits else None)
-            last.append(place + hi - 1 if fits else None)
-        out = frame[["id", "n_words", "item"]].copy()
-        out["first"], out["last"] = first, last
-        for c in ("item", "first", "last"):
-            out[c] = out[c].astype("Int64")
-        out.loc[out["first"].isna(), "item"] = None
-        yield out
+    import pyarrow as pa
+
+    for batch in batches:
+        hit = np.flatnonzero(batch.column("b_around").is_valid().to_numpy(zero_copy_only=False))
+        found = batch.take(pa.array(hit))
+        n, place, lead, around, b_lead, b_around = (found.column(c).to_pylist() for c in ("n", "place", "lead", "around", "b_lead", "b_around"))
+        first, last, miss = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
+        for i, row in enumerate(hit.tolist()):
+            run = run_of(n[i], lead[i], around[i].split(" "), b_lead[i], b_around[i].split(" "))
+            if run:
+                first[row], last[row], miss[row] = place[i] - run[0], place[i] + run[1] - 1, False
+        item = pa.compute.if_else(pa.array(~miss), batch.column("item"), pa.scalar(None, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("n_words"), item, pa.array(first, mask=miss), pa.array(last, mask=miss)], ["row", "id", "n_words", "item", "first", "last"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, item_ids (those found, sorted as strings), contaminated.
+    """Per row of docs: doc_id, n_words, n_hit, n_items, item_ids (those found, sorted as strings), contaminated.
 
     Words are runs of ASCII letters (lower-cased), digits and all characters from U+0080; a window is 13 successive words
     of an item, or the whole of a shorter one. Null and empty texts have no words and are clean; items without words match
-    nothing; items with equal texts are found together; repeated rows of a document give one row each only if their ids
-    differ (equal ids count as one document whose hits are joined); empty tables give no rows, or no hits.
+    nothing, and a null item id counts as no item though its words are hit; items with equal texts are found together, rows
+    that repeat an item count once; rows of docs that repeat an id, or have none, are judged one by one; empty tables give no
+    rows, or no hits. Ids and texts alone are read, so further columns may have any name. A very long text is taken whole.
 
     A bit set of fixed size (4 Mbit) over the items' fingerprints thins the documents' fingerprints before the join; a full
     set would thin less and lose nothing. The join's hot hashes are split by adaptive execution.
     """
-    doc = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    item = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    doc = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    item = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"), F.lit(0).cast("long").alias("row"))
     marks = item.mapInArrow(fingerprints(list(range(1, WINDOW + 1)), None, True), SCHEMA).where("hash is not null")
-    marks = marks.select(F.col("id").alias("item"), F.col("n").alias("b_n"), F.col("hash").alias("b_hash"), F.col("lead").alias("b_lead"), F.col("around").alias("b_around"))
-    bits = marks.selectExpr(f"pmod(b_hash, {FILTER_BITS}) as bit").groupBy(F.expr("bit div 8").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 as int)))").alias("mask")).collect()  # at most FILTER_BITS / 8 rows
+    marks = written(marks.select(F.col("id").alias("item"), F.col("n").alias("b_n"), F.col("hash").alias("b_hash"), F.col("lead").alias("b_lead"), F.col("around").alias("b_around")).distinct(), "fingerprints")
     keep = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits:
-        keep[r.byte] = r["mask"]
+    for r in marks.selectExpr(f"pmod(b_hash, {FILTER_BITS}) as bit").groupBy((F.col("bit") % 64).alias("part")).agg(F.collect_set("bit").alias("bits")).collect():  # at most FILTER_BITS numbers
+        bits = np.array(r.bits, np.int64)
+        np.bitwise_or.at(keep, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     lengths = sorted(r.b_n for r in marks.select("b_n").distinct().collect())  # at most 13
     hits = doc.mapInArrow(fingerprints(lengths, keep, False), SCHEMA)
-    hits = hits.withColumn("key", F.coalesce("hash", F.xxhash64("id")))  # rows without a hash spread out
+    hits = hits.withColumn("key", F.coalesce("hash", F.xxhash64("row")))  # rows without a hash spread out
     joined = hits.join(marks, (hits.key == marks.b_hash) & (hits.n == marks.b_n), "left")
-    runs = joined.select("id", "n_words", "n", "place", "lead", "around", "item", "b_lead", "b_around").mapInPandas(extended, "id long, n_words long, item long, first long, last long")
-    runs = runs.groupBy("id").agg(
+    runs = joined.select("row", "id", "n_words", "n", "place", "lead", "around", "item", "b_lead", "b_around").mapInArrow(extended, "row long, id long, n_words long, item long, first long, last long")
+    runs = runs.groupBy("row").agg(
+        F.first("id").alias("id"),
         F.max("n_words").alias("n_words"),
         F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "last"))).alias("runs"),
         F.array_sort(F.transform(F.collect_set("item"), lambda x: x.cast("string"))).alias("item_ids"),

@@ -2,22 +2,23 @@
 
 Unit vectors with cosine >= c have a squared distance of at most b = 2 - 2c. Vectors are turned by one random rotation and
 cut into blocks; of two such vectors, some block's squared distance is at most its share of b, in proportion to its
-width. Each block is range-joined under that budget on a grid over its first coordinates: a vector is at home in one cell and
-visits every cell within the radius. The union of what the blocks propose is checked in double precision; a pair counts in
-the first block that proposes it, once for each of the two at home.
+width. Each block is range-joined under that budget. A tree of medians, taken over the block's coordinates in turn from a
+bounded sample, makes its cells; the sample settles only how even they are. A vector is at home in one cell and visits those
+after it whose box lies within the radius, so two vectors meet in one cell alone. Within a cell, strips of like vectors
+meet only those within the radius along each coordinate. The union of what the blocks propose is checked in double precision;
+a pair counts in the first block that proposes it.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdloom.llm.common import components, join_counted, partitions, written
 
-CHUNK, SEATS = 2000, 16_000
+CHUNK, SEATS, LEAF, STRIP = 8000, 1 << 20, 6000, 128
+LEAST_SEATS, SAMPLE = 500, 16_384
 SLACK = 1e-7
 
 
@@ -31,24 +32,44 @@ def rotation(dim: int) -> np.ndarray:
 
 
 class Grid:
-    """Cells of a block: of side 2.25 radii over its first axes coordinates."""
+    """The blocks of vectors of one length, and the cells of each."""
 
-    def __init__(self, dim: int, width: int, axes: int, budget: float) -> None:
+    def __init__(self, dim: int, width: int, budget: float, depth: int = 0, sample: np.ndarray | None = None) -> None:
+        """sample: unit vectors, turned by the rotation."""
         self.blocks = blocks_of(dim, width)
         self.radius = [np.sqrt(budget * len(b) / dim) + SLACK for b in self.blocks]
-        self.axes, self.turn = axes, rotation(dim)
-
-    def cells(self, turned: np.ndarray, block: int) -> tuple[np.ndarray, list[list[int]]]:
-        """(home cell, cells visited, home included) of each vector."""
-        at = self.blocks[block][: self.axes]
-        side = 2.25 * self.radius[block]
-        span = 2 * int(np.ceil(1 / side)) + 3
-        low = np.floor((turned[:, at] - self.radius[block]) / side).astype(np.int64) + span // 2
-        high = np.floor((turned[:, at] + self.radius[block]) / side).astype(np.int64) + span // 2
-        home = np.floor(turned[:, at] / side).astype(np.int64) + span // 2
-        scale = span ** np.arange(len(at))
-        visits = [[int(np.dot(c, scale)) for c in itertools.product(*(range(a, b + 1) for a, b in zip(x, y, strict=True)))] for x, y in zip(low, high, strict=True)]
-        return home @ scale, visits
+        self.depth = depth if sample is not None and len(sample) else 0
+        self.medians = [self.tree(sample[:, b]) if self.depth else np.empty(0) for b in self.blocks]
+
+    def tree(self, x: np.ndarray) -> np.ndarray:
+        """The splitting value of each inner node, children of k at 2 k + 1 and 2 k + 2."""
+        out, node = np.zeros(2**self.depth - 1), np.zeros(len(x), np.int64)
+        for level in range(self.depth):
+            v = x[:, level % x.shape[1]]
+            for k in range(2**level - 1, 2 ** (level + 1) - 1):
+                own = v[node == k]
+                out[k] = np.median(own) if len(own) else 0.0
+            node = 2 * node + 1 + (v >= out[node])
+        return out
+
+    def cells(self, turned: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, cell, whether it is at home there) of each home and of each visit to a later cell."""
+        x, medians, limit = turned[:, self.blocks[block]], self.medians[block], self.radius[block] ** 2
+        who, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        home, gap = np.ones(len(x), bool), np.zeros(x.shape)  # gap: from the vector to the box, along each coordinate
+        for level in range(self.depth):
+            axis = level % x.shape[1]
+            d = x[who, axis] - medians[node]
+            across = gap.copy()
+            across[:, axis] = np.abs(d)
+            go = (across * across).sum(1) <= limit
+            own, other = 2 * node + 1 + (d >= 0), 2 * node + 1 + (d < 0)
+            who, node = np.concatenate([who, who[go]]), np.concatenate([own, other[go]])
+            home, gap = np.concatenate([home, np.zeros(int(go.sum()), bool)]), np.concatenate([gap, across[go]])
+        at_home = np.empty(len(x), np.int64)
+        at_home[who[home]] = node[home]
+        keep = home | (node > at_home[who])
+        return who[keep], node[keep] - (2**self.depth - 1), home[keep]
 
 
 def unit(raw: list[bytes], kind: str) -> np.ndarray:
@@ -56,20 +77,38 @@ def unit(raw: list[bytes], kind: str) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def linked(home: np.ndarray, others: np.ndarray, grid: Grid, block: int, threshold: float, budget: float):
+def strips(x: np.ndarray, y: np.ndarray, radius: float):
+    """(rows of x, rows of y) that hold all pairs within radius: x is halved at medians of its coordinates in turn, and each
+    part takes the rows of y within radius of its own range."""
+    stack = [(np.arange(len(x)), np.arange(len(y)), 0)]
+    while stack:
+        i, j, level = stack.pop()
+        if len(i) <= STRIP or level >= 4 * x.shape[1]:
+            yield i, j
+            continue
+        axis = level % x.shape[1]
+        v, other = x[i, axis], y[j, axis]
+        low = v < np.median(v)
+        for part in (i[low], i[~low]):
+            if len(part):
+                own = x[part, axis]
+                stack.append((part, j[(other >= own.min() - radius) & (other <= own.max() + radius)], level + 1))
+
+
+def linked(home: np.ndarray, others: np.ndarray, grid: Grid, turn: np.ndarray, block: int, threshold: float):
     """(i, j) of the pairs that this block proposes first and whose cosine reaches the threshold."""
-    a, b = home @ grid.turn, others @ grid.turn
-    at = grid.blocks[block]
+    a, b = home @ turn, others @ turn
+    at, radius = grid.blocks[block], grid.radius[block]
     a32, b32 = a[:, at].astype(np.float32), b[:, at].astype(np.float32)
-    limit = np.float32(grid.radius[block] ** 2 + 1e-5)
-    b_norm = (b32 * b32).sum(1)
-    step = max(1, 4_000_000 // max(1, len(b)))
-    for lo in range(0, len(a), step):
-        part = a32[lo : lo + step]
-        near = (part * part).sum(1)[:, None] + b_norm - 2 * (part @ b32.T) <= limit
-        i, j = np.nonzero(near)
-        for s in range(0, len(i), 100_000):
-            p, q = i[s : s + 100_000] + lo, j[s : s + 100_000]
+    one = np.ones((1, 1), np.float32)
+    left = np.concatenate([-2 * a32, (a32 * a32).sum(1)[:, None], np.repeat(one, len(a), 0)], 1)
+    right = np.concatenate([b32, np.repeat(one, len(b), 0), (b32 * b32).sum(1)[:, None]], 1)
+    limit = np.float32(radius**2 + 1e-5)
+    for rows, columns in strips(a[:, at], b[:, at], radius):
+        near = left[rows] @ right[columns].T <= limit
+        i, j = np.divmod(np.flatnonzero(near), len(columns)) if len(columns) else (rows[:0], rows[:0])
+        for s in range(0, len(i), 20_000):
+            p, q = rows[i[s : s + 20_000]], columns[j[s : s + 20_000]]
             fit = np.einsum("ij,ij->i", home[p], others[q]) >= threshold
             p, q = p[fit], q[fit]
             square = (a[p] - b[q]) ** 2
@@ -79,14 +118,28 @@ def linked(home: np.ndarray, others: np.ndarray, grid: Grid, block: int, thresho
             yield p[first == block], q[first == block]
 
 
+def join_roots(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Join the trees of the pairs (p, q) in place; each points at its smallest member."""
+    while len(p):
+        a, b = root[p], root[q]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root[:] = up
+        apart = root[p] != root[q]
+        p, q = p[apart], q[apart]
+
+
 def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those with a null id, link with nothing
     and are their own component; so do vectors of different lengths with each other. Equal vectors are joined once and
-    counted as often as they occur; an empty table gives an empty one. The number of axes of the grid grows with the
-    logarithm of the distinct vectors. Homes in a cell are dealt in chunks of about 2,000 and all its vectors in chunks of about
-    16,000; a task holds one of each, whatever the cell's size, and only sums and the edges of its own spanning forest leave it.
+    counted as often as they occur, rows that repeat an id included; a cosine of just the threshold links; an empty table gives an
+    empty one. Only the id and the vector are read, so further columns may have any name.
+
+    The cells' medians come from about SAMPLE distinct vectors; which pairs meet doesn't hang on them. Homes in a cell are dealt in
+    chunks of about CHUNK and all its vectors in chunks of about SEATS numbers; a task holds one of each, whatever the
+    cell's size, and only sums and one edge for each vector leave it.
     """
     spark = vectors.sparkSession
     narrow = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
@@ -106,34 +159,40 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
     packed = written(rows.mapInArrow(pack, "vec_id long, raw binary").withColumn("key", F.sha2("raw", 256)), "vectors")
     classes = written(packed.where("raw is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("raw").alias("raw")), "classes")
     budget = 2 - 2 * threshold
-    distinct = classes.count()
-    axes = 2
-    while distinct / 3**axes > 8000 and axes < width:
-        axes += 1
+    size = np.dtype(kind).itemsize
+    dims = (F.length("raw") / size).cast("int")
+    counts = {r.dim: r["count"] for r in classes.groupBy(dims.alias("dim")).count().collect()}  # a row per length of vectors
+    share = min(1.0, SAMPLE / max(1, sum(counts.values())))
+    picked: dict[int, list[bytes]] = {}
+    for r in classes.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("raw").collect():  # about SAMPLE rows
+        picked.setdefault(len(r.raw) // size, []).append(bytes(r.raw))
+    grids = {}
+    for dim, n in counts.items():
+        own = picked.get(dim, [])
+        depth = max(0, min(int(np.ceil(np.log2(n / LEAF))), int(np.log2(max(8, len(own)) / 8))))
+        grids[dim] = Grid(dim, width, budget, depth, unit(own, kind) @ rotation(dim) if own else None)
 
     def cells(batches):
         import pyarrow as pa
 
-        grids: dict[int, Grid] = {}
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
-            out: list[tuple] = []
             raw = batch.column("raw").to_pylist()
-            dims = np.array([len(r) // np.dtype(kind).itemsize for r in raw])
-            for dim in np.unique(dims).tolist():
-                grid = grids.setdefault(dim, Grid(dim, width, axes, budget))
-                which = np.flatnonzero(dims == dim)
-                turned = unit([raw[i] for i in which], kind) @ grid.turn
-                for block in range(len(grid.blocks)):
-                    home, visits = grid.cells(turned, block)
-                    for i, h, seen in zip(which.tolist(), home.tolist(), visits, strict=True):
-                        out.extend((dim, block, c, c == h, i) for c in seen)
-            dim, block, cell, home, i = zip(*out, strict=True) if out else ((),) * 5
-            i = pa.array(i, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(dim, pa.int32()), pa.array(block, pa.int32()), pa.array(cell, pa.int64()), pa.array(home, pa.bool_()), *(batch.column(c).take(i) for c in ("id", "n", "raw"))], ["dim", "block", "cell", "home", "id", "n", "raw"])
+            long = np.array([len(r) // size for r in raw])
+            for dim in np.unique(long).tolist():
+                if dim not in turns:
+                    turns[dim] = rotation(dim)
+                which = np.flatnonzero(long == dim)
+                turned = unit([raw[i] for i in which], kind) @ turns[dim]
+                for block in range(len(grids[dim].blocks)):
+                    who, cell, home = grids[dim].cells(turned, block)
+                    at = pa.array(which[who])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), dim, np.int32)), pa.array(np.full(len(who), block, np.int32)), pa.array(cell), pa.array(home), *(batch.column(c).take(at) for c in ("id", "n", "raw"))], ["dim", "block", "cell", "home", "id", "n", "raw"])
 
     dealt = written(classes.repartition(partitions(spark)).mapInArrow(cells, "dim int, block int, cell long, home boolean, id long, n long, raw binary"), "cells")
     sizes = dealt.groupBy("dim", "block", "cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes"))
-    sizes = sizes.withColumn("homes", F.ceil(F.col("homes") / CHUNK)).withColumn("others", F.ceil(F.col("rows") / SEATS))
+    seats = F.greatest(F.lit(LEAST_SEATS), F.floor(F.lit(SEATS) / F.col("dim")))
+    sizes = sizes.withColumn("homes", F.ceil(F.col("homes") / CHUNK)).withColumn("others", F.ceil(F.col("rows") / seats))
     tasks = join_counted(dealt, written(sizes, "sizes"), ["dim", "block", "cell"], "rows").where("homes > 0")
     own, seat = F.pmod(F.xxhash64("id"), "homes"), F.pmod(F.xxhash64("id", F.lit(3)), "others")
 
@@ -143,42 +202,31 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
     as_home = F.when(F.col("home"), F.transform(upto("others"), lambda o: F.struct(own.alias("chunk"), o.alias("other"))))
     as_other = F.transform(upto("homes"), lambda h: F.struct(h.alias("chunk"), seat.alias("other")))
     tasks = tasks.withColumn("own", own).withColumn("seat", seat).withColumn("at", F.explode(F.array_distinct(F.concat(F.coalesce(as_home, F.array().cast("array<struct<chunk:long,other:long>>")), as_other))))
-    tasks = tasks.select("dim", "block", "cell", "at.chunk", "at.other", (F.col("home") & (F.col("own") == F.col("at.chunk"))).alias("home"), (F.col("seat") == F.col("at.other")).alias("seated"), "id", "n", "raw")
+    tasks = tasks.select("dim", "block", "cell", "at.chunk", "at.other", "home", (F.col("home") & (F.col("own") == F.col("at.chunk"))).alias("chosen"), (F.col("seat") == F.col("at.other")).alias("seated"), "id", "n", "raw")
 
     def join(key, frame):
+        """Rows (a, a, links of a found here) and (a, b, 0): a and b are joined by links found here."""
         import pandas as pd
 
         dim, block = int(key[0]), int(key[1])
-        ids, weight = frame["id"].to_numpy(), frame["n"].to_numpy()
-        grid = Grid(dim, width, axes, budget)
+        ids, weight, at_home = frame["id"].to_numpy(), frame["n"].to_numpy(), frame["home"].to_numpy()
         x = unit(frame["raw"].tolist(), kind)
-        home, seated = np.flatnonzero(frame["home"].to_numpy()), np.flatnonzero(frame["seated"].to_numpy())
-        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        edges = []
-        for p, q in linked(x[home], x[seated], grid, block, threshold, budget):
+        home, seated = np.flatnonzero(frame["chosen"].to_numpy()), np.flatnonzero(frame["seated"].to_numpy())
+        del frame
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for p, q in linked(x[home], x[seated], grids[dim], rotation(dim), block, threshold):
             p, q = home[p], seated[q]
-            apart = ids[p] != ids[q]
-            p, q = p[apart], q[apart]
+            once = ~at_home[q] | (ids[p] < ids[q])  # two at home meet from both sides
+            p, q = p[once], q[once]
             np.add.at(links, p, weight[q])
-            for i, j in zip(p.tolist(), q.tolist(), strict=True):
-                a, b = root(i), root(j)
-                if a != b:
-                    parent[a] = b
-                    edges.append((int(ids[i]), int(ids[j])))
-        found = np.flatnonzero(links)
-        out = [(int(ids[i]), None, int(links[i])) for i in found] + [(a, b, None) for a, b in edges]
-        return pd.DataFrame(out, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "Int64"})
+            np.add.at(links, q, weight[p])
+            join_roots(root, p, q)
+        found, moved = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(ids)))
+        return pd.DataFrame({"a": np.concatenate([ids[found], ids[moved]]), "b": np.concatenate([ids[found], ids[root[moved]]]), "n": np.concatenate([links[found], np.zeros(len(moved), np.int64)])})
 
     found = written(tasks.groupBy("dim", "block", "cell", "chunk", "other").applyInPandas(join, "a long, b long, n long"), "links")
-    links = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
-    labels = components(found.where("b is not null").select("a", "b"), "vectors").withColumnRenamed("node", "id")
+    links = found.where("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
+    labels = components(found.where("a <> b").select("a", "b"), "vectors").withColumnRenamed("node", "id")
     per_class = classes.select("key", "id", "n").join(links, "id", "left").join(labels, "id", "left")
     per_class = per_class.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = packed.select("vec_id", "key").join(per_class, "key", "left")

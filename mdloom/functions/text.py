@@ -137,7 +137,8 @@ def percent_done(loaded: Column | str, total: Column | str) -> Column:
     return F.when(col(total) > 0, F.floor(col(loaded) * 100 / col(total) + 0.5))
 
 
-STAGES = ("upload", "extract", "generate", "format")
+#: The names of the stages of a job, in order.
+STAGES = ("uploading", "extracting", "generating", "formatting")
 
 
 def stage_index(stage: Column | str) -> Column:

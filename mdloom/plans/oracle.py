@@ -109,7 +109,7 @@ _PAGES = f"WITH p AS (SELECT page_id, {_html('html')} AS raw, html FROM pages),
 _FILES = f"""{_PAGES}, f AS (SELECT *, concat('page', page_id, ['.html', '.HTML', '.docx', '.png'][page_id % 4 + 1]) AS original_filename, ['.html', '.html', '.docx', '.png'][page_id % 4 + 1] AS ext FROM m),
 j AS (SELECT sha256(concat(original_filename, chr(10), html)) AS job_id, original_filename, ext, html, CASE WHEN ext = '.html' THEN 'done' ELSE 'failed' END AS status,
       CASE WHEN ext <> '.html' THEN 'no converter for .docx' END AS error, CASE WHEN ext = '.html' THEN markdown END AS markdown FROM f WHERE ext <> '.png')"""
-_STAGE = "['upload', 'extract', 'generate', 'format', 'complete', 'error', 'idle'][event_id % 7 + 1]"
+_STAGE = "['uploading', 'extracting', 'generating', 'formatting', 'complete', 'error', 'idle'][event_id % 7 + 1]"
 _WORDS = r"'[\s*:|]+'"
 _ROUGH = f"WITH r AS ({roughened_sql()})"
 

@@ -186,8 +186,7 @@ def structured_lists(spark, sf_dir):
 
 @query
 def rebuild_tables(spark, sf_dir):
-    rows = rows_of(spark, sf_dir)
-    return E.rebuild_tables(rows, E.md_cells(rows))
+    return E.rebuild_tables(rows_of(spark, sf_dir))
 
 
 @query
@@ -280,7 +279,7 @@ def progress_percent(spark, sf_dir):
     return items.select("loaded", "total", X.percent_done("loaded", "total").alias("percent"))
 
 
-STAGE_OF = "element_at(array('upload', 'extract', 'generate', 'format', 'complete', 'error', 'idle'), cast(event_id % 7 + 1 as int))"
+STAGE_OF = "element_at(array('uploading', 'extracting', 'generating', 'formatting', 'complete', 'error', 'idle'), cast(event_id % 7 + 1 as int))"
 
 
 @query
@@ -305,8 +304,11 @@ def debounced_latest(spark, sf_dir):
 
 @query
 def job_progress(spark, sf_dir):
-    stages = Z.read_stream(spark, sf_dir, "events").selectExpr("user_id as job", "ts", f"{STAGE_OF} as stage")
-    return Z.run_complete(Z.job_progress(stages), shared_folder(spark, "progress"))
+    """In update mode over several batches: the events in eight files, two to a batch."""
+    folder = shared_folder(spark, "events")
+    table(spark, sf_dir, "events").repartition(8, "event_id").write.parquet(f"{folder}/events.parquet")
+    stages = Z.read_stream(spark, folder, "events", per_batch=2).selectExpr("user_id as job", "ts", f"{STAGE_OF} as stage")
+    return Z.run_update(Z.job_progress(stages), shared_folder(spark, "progress"), ["job"])
 
 
 @query

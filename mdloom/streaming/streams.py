@@ -16,14 +16,15 @@ def stream_clean(source: DataFrame, folder: str):
 
 def debounced_latest(edits: DataFrame, gap: str = "1000 milliseconds", late: str = "1 hour") -> DataFrame:
     """Per burst of edits of a key, the last content; a burst ends when no edit comes within the gap. edits: key, ts,
-    content. With a watermark, so the state of closed bursts goes."""
+    content. In append mode a burst comes once, when the watermark has passed its end, and its state goes; edits later than
+    the watermark are dropped. In complete mode all bursts stay."""
     timed = edits.withWatermark("ts", late) if edits.isStreaming else edits
     bursts = timed.groupBy("key", F.session_window("ts", gap).alias("burst")).agg(F.max_by("content", F.struct("ts", "content")).alias("content"))
     return bursts.select("key", F.col("burst.start").alias("started"), F.col("burst.end").alias("saved"), "content")
 
 
 def job_progress(stages: DataFrame) -> DataFrame:
-    """The latest stage of each job; stages: job, ts, stage. State grows with the number of jobs."""
+    """The latest stage of each job; stages: job, ts, stage. State grows with the number of jobs, a row each."""
     return stages.groupBy("job").agg(F.max_by("stage", F.struct("ts", "stage")).alias("stage"), F.max("ts").alias("ts"))
 
 
@@ -33,11 +34,30 @@ def stage_counts(stages: DataFrame, width: str = "1 day", late: str = "1 day") -
     return timed.groupBy(F.window("ts", width).alias("w"), "stage").agg(F.count("*").alias("n")).select(F.col("w.start").alias("started"), "stage", "n")
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files (a folder, or the one file of that name)."""
+def read_stream(spark: SparkSession, sf_dir: str, name: str, per_batch: int | None = None) -> DataFrame:
+    """A table as a stream of its files (a folder, or the one file of that name), at most per_batch of them in a batch."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(f"{path}*")
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(f"{path}*")
+
+
+def run_append(result: DataFrame, folder: str) -> DataFrame:
+    """Run an aggregating stream with a watermark over what is there; returns what it closed, each row written once."""
+    result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/data").trigger(availableNow=True).start().awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(f"{folder}/data")
+
+
+def run_update(result: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Run an aggregating stream in update mode: each batch writes only the rows that it changed, into a folder of its own number,
+    so a batch that runs twice leaves one copy. Returns the last row of each key."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changed/batch={number}")
+
+    result.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    changed = result.sparkSession.read.option("basePath", f"{folder}/changed").parquet(f"{folder}/changed")
+    last = changed.groupBy(*keys).agg(F.max_by(F.struct(*result.columns), F.col("batch").cast("long")).alias("row"))
+    return last.select("row.*")
 
 
 def run_complete(result: DataFrame, folder: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +21,22 @@ def base_name(path: Column | str) -> Column:
     return F.regexp_extract(path, r"([^/]*)\z", 1)
 
 
+def any_case(extensions: tuple[str, ...]) -> str:
+    """A file-name pattern for these suffixes in any case, so that other files are never opened."""
+    letters = ("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext) for ext in extensions)
+    return "{" + ",".join(f"*{ext}" for ext in letters) + "}"
+
+
 def scan_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...] = DOCUMENT_EXTENSIONS) -> DataFrame:
     """path, original_filename, ext, length, content of the files that can be converted; the suffix counts in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions)).load(folder)
     named = files.withColumn("original_filename", base_name("path")).withColumn("ext", F.lower(extension("original_filename")))
     return named.where(F.col("ext").isin(*extensions)).select("path", "original_filename", "ext", "length", "content")
 
 
 def scan_markdown(spark: SparkSession, folder: str, extensions: tuple[str, ...] = MARKDOWN_EXTENSIONS) -> DataFrame:
     """file_name, content of Markdown and text files, each as one text."""
-    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions)).text(folder, wholetext=True)
     named = files.select(base_name("_metadata.file_path").alias("file_name"), F.col("value").alias("content"))
     return named.where(F.lower(extension("file_name")).isin(*extensions))
 
@@ -90,35 +97,45 @@ def pages_to_markdown(pages: DataFrame) -> DataFrame:
 
 
 def convert_documents(files: DataFrame, converters: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """The ledger of all files, converted and cleaned: HTML by expressions, other kinds by a converter of the user's own.
+    """The ledger of all files, converted and cleaned in one scan: HTML by expressions, other kinds by a converter of the user's own.
 
-    A converter runs in Arrow batches; what it raises becomes the row's error, and other rows go on. Kinds without one
-    fail with a message.
+    A converter runs in Arrow batches, which HTML doesn't enter; what it raises becomes the row's error, and other rows go on.
+    HTML that isn't UTF-8 and kinds without a converter fail with a message.
     """
     converters = converters or {}
     jobs = job_ledger(files)
-    html = jobs.where("ext = '.html'").select("job_id", "source_path", "original_filename", "ext", html_to_markdown(F.decode("content", "utf-8")).alias("raw"), F.lit(None).cast("string").alias("error"))
+    is_html = F.col("ext") == ".html"
+    html = F.try_validate_utf8(F.col("content").cast("string"))
+    missing = F.concat(F.lit("no converter for "), "ext")
+    if converters:
+        jobs = jobs.withColumn("own", converted_by(converters)(F.when(~is_html, F.col("content")), F.when(~is_html, F.col("ext"))))
+        other, why = F.col("own.raw"), F.coalesce("own.error", F.when(~F.col("ext").isin(*converters), missing))
+    else:
+        other, why = F.lit(None).cast("string"), missing
+    raw = F.when(is_html, html_to_markdown(html)).otherwise(other)
+    error = F.when(is_html, F.when(html.isNull(), "not UTF-8")).otherwise(why)
+    done = jobs.select("job_id", "source_path", "original_filename", "ext", raw.alias("raw"), error.alias("error"))
+    status = F.when(F.col("error").isNull(), "done").otherwise("failed")
+    return done.select("job_id", "source_path", "original_filename", "ext", status.alias("status"), "error", clean_markdown("raw").alias("markdown"))
 
-    def run(batches) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            raw, errors = [], []
-            for ext, content in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist(), strict=True):
+def converted_by(converters: dict[str, Callable[[bytes], str]]):
+    """(content, ext) to a struct (raw, error); both null where there is no content or no converter."""
+    @F.pandas_udf("raw string, error string")
+    def run(content: pd.Series, ext: pd.Series) -> pd.DataFrame:
+        raw, errors = [], []
+        for data, kind in zip(content, ext, strict=True):
+            text = error = None
+            if kind in converters and data is not None:
                 try:
-                    if ext not in converters:
-                        raise ValueError(f"no converter for {ext}")
-                    raw.append(converters[ext](content))
-                    errors.append(None)
+                    text = converters[kind](bytes(data))
                 except Exception as e:  # one file's failure is that file's result
-                    raw.append(None)
-                    errors.append(str(e) or type(e).__name__)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("job_id", "source_path", "original_filename", "ext")), pa.array(raw, pa.string()), pa.array(errors, pa.string())], ["job_id", "source_path", "original_filename", "ext", "raw", "error"])
+                    error = str(e) or type(e).__name__
+            raw.append(text)
+            errors.append(error)
+        return pd.DataFrame({"raw": raw, "error": errors}, dtype=object)
 
-    others = jobs.where("ext <> '.html'").mapInArrow(run, html.schema)
-    done = html.unionByName(others)
-    status = F.when(F.col("error").isNull(), "done").otherwise("failed")
-    return done.select("job_id", "source_path", "original_filename", "ext", status.alias("status"), "error", clean_markdown("raw").alias("markdown"))
+    return run
 
 
 def failed_jobs(ledger: DataFrame) -> DataFrame:
@@ -139,6 +156,17 @@ def lookup_jobs(ledger: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(ledger.select("job_id", "markdown", F.lit(True).alias("hit")), "job_id", "left").select("job_id", F.coalesce("hit", F.lit(False)).alias("found"), "markdown")
 
 
+def write_ledger(ledger: DataFrame, folder: str) -> DataFrame:
+    """The ledger as Parquet, in ranges of job_id and sorted in each, so that a look-up by id reads few row groups."""
+    ledger.repartitionByRange("job_id").sortWithinPartitions("job_id").write.mode("overwrite").parquet(folder)
+    return ledger.sparkSession.read.schema(LEDGER).parquet(folder)
+
+
+def stored_results(stored: DataFrame, job_ids: list[str]) -> DataFrame:
+    """The results of a few jobs of a stored ledger: a filter that reaches the Parquet scan, no join."""
+    return result_records(stored.where(F.col("job_id").isin(job_ids))).select("record.*")
+
+
 def write_clean(docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, content_clean as Parquet; what was written, read again."""
     docs.select("doc_id", clean_markdown("content").alias("content_clean")).write.mode("overwrite").parquet(folder)

@@ -1,6 +1,7 @@
 """Markdown as relational tables: lines, rows, cells and fields.
 
-Every key starts with doc_id, so one shuffle by document serves all windows and groups that follow.
+Every key starts with doc_id, so the one shuffle by document that numbers the lines serves all windows and groups that follow;
+what belongs to a row, a column or a table is set beside each row or cell by a window instead of being joined to it.
 """
 
 from __future__ import annotations
@@ -59,11 +60,34 @@ def md_cells(rows: DataFrame) -> DataFrame:
     return out.withColumn("is_blank", is_blank("cell"))
 
 
+def flagged(rows: DataFrame, most: int = MAX_SUBHEADERS) -> DataFrame:
+    """Rows with is_sub (data rows right below the header, as long as all of their cells are bold) and is_record (data rows
+    below those, with a cell that isn't blank)."""
+    so_far = W.partitionBy(*TABLE).orderBy("row_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    near = F.col("data_row_no").between(1, most)
+    rows = rows.withColumn("is_sub", F.coalesce(near & F.bool_and(F.when(near, is_all_bold("cells"))).over(so_far), F.lit(False)))
+    return rows.withColumn("is_record", F.coalesce((F.col("data_row_no") >= 1) & ~F.col("is_sub") & F.exists("cells", lambda c: ~is_blank(c)), F.lit(False)))
+
+
+def flagged_cells(rows: DataFrame) -> DataFrame:
+    """One row per cell of the flagged rows; a row without cells has one with nulls."""
+    out = flagged(rows).select(*TABLE, "line_no", "row_no", "is_sep", "data_row_no", "is_sub", "is_record", "line", F.posexplode_outer("cells").alias("col_no", "cell"))
+    return out.withColumn("is_blank", is_blank("cell"))
+
+
+def by_column():
+    return W.partitionBy(*TABLE, "col_no")
+
+
+def name_of_column():
+    """An aggregate over a column's flagged cells: the first name in the header or the sub-header rows."""
+    named = ((F.col("data_row_no") == 0) | F.col("is_sub")) & (bold0("cell") != "")
+    return F.min_by(F.when(named, bold0("cell")), F.when(named, F.col("row_no")))
+
+
 def subheader_rows(rows: DataFrame, most: int = MAX_SUBHEADERS) -> DataFrame:
     """Data rows right below the header, as long as all of their cells are bold."""
-    near = rows.where(F.col("data_row_no").between(1, most)).withColumn("bold", is_all_bold("cells"))
-    so_far = W.partitionBy(*TABLE).orderBy("data_row_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return near.withColumn("bold", F.bool_and("bold").over(so_far)).where("bold").select(*TABLE, "row_no", "data_row_no")
+    return flagged(rows, most).where("is_sub").select(*TABLE, "row_no", "data_row_no")
 
 
 def empty_columns(cells: DataFrame) -> DataFrame:
@@ -73,23 +97,22 @@ def empty_columns(cells: DataFrame) -> DataFrame:
 
 def header_names(rows: DataFrame) -> DataFrame:
     """Per column that has one, its name: from the header, else from the first sub-header row that names it."""
-    heads = rows.where("data_row_no = 0").select(*TABLE, "row_no", "data_row_no").unionByName(subheader_rows(rows)).select(*TABLE, "row_no")
-    named = rows.join(heads, [*TABLE, "row_no"]).select(*TABLE, "row_no", F.posexplode("cells").alias("col_no", "cell"))
-    named = named.withColumn("name", bold0("cell")).where("name <> ''")
-    return named.groupBy(*TABLE, "col_no").agg(F.min_by("name", "row_no").alias("field_name"))
+    return flagged_cells(rows).where("col_no is not null").groupBy(*TABLE, "col_no").agg(name_of_column().alias("field_name")).where("field_name is not null")
 
 
 def table_records(rows: DataFrame) -> DataFrame:
     """Data rows that make a record: below the sub-headers, with a cell that isn't blank."""
-    subs = subheader_rows(rows).groupBy(*TABLE).agg(F.max("data_row_no").alias("last_sub"))
-    below = rows.where("data_row_no >= 1").join(subs, list(TABLE), "left")
-    return below.where("data_row_no > coalesce(last_sub, 0)").where(F.exists("cells", lambda c: ~is_blank(c))).drop("last_sub")
+    return flagged(rows).where("is_record").drop("is_sub", "is_record")
+
+
+def fields_of(cells: DataFrame) -> DataFrame:
+    """Of flagged cells, those that are a field of a record, with the column's name (null if none)."""
+    return cells.withColumn("field_name", name_of_column().over(by_column())).where("is_record and not is_blank")
 
 
 def md_fields(rows: DataFrame) -> DataFrame:
     """One row per non-blank cell of a record, with its name (null if none)."""
-    cells = table_records(rows).select(*TABLE, "data_row_no", F.posexplode("cells").alias("col_no", "value")).where(~is_blank("value"))
-    out = cells.join(header_names(rows), [*TABLE, "col_no"], "left")
+    out = fields_of(flagged_cells(rows)).withColumnRenamed("cell", "value")
     return out.select(*TABLE, "data_row_no", "col_no", "field_name", "value", F.contains(format_cell("value"), F.lit("\n")).alias("is_multiline"))
 
 
@@ -107,8 +130,7 @@ def structured_lists(rows: DataFrame) -> DataFrame:
 
 def drop_empty_columns(cells: DataFrame) -> DataFrame:
     """Cells of the columns that aren't empty, renumbered from 0."""
-    empty = empty_columns(cells).where("is_empty")
-    left = cells.where("col_no is not null").join(empty, [*TABLE, "col_no"], "left_anti")
+    left = cells.where("col_no is not null").withColumn("is_empty", F.bool_and("is_blank").over(by_column())).where("not is_empty")
     again = F.row_number().over(W.partitionBy(*TABLE, "row_no").orderBy("col_no")) - 1
     return left.select(*TABLE, "row_no", again.alias("col_no"), "cell")
 
@@ -118,47 +140,82 @@ def column_widths(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*TABLE, "col_no").agg(F.greatest(F.lit(MIN_WIDTH), F.max(F.length("cell"))).alias("width"))
 
 
-def rebuild_tables(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """Per table, its rows as even lines, without the empty columns; empty if none is left."""
-    kept = drop_empty_columns(cells)
-    widths = column_widths(kept).groupBy(*TABLE).agg(ordered("width", "col_no").alias("widths"))
-    left = kept.groupBy(*TABLE, "row_no").agg(ordered("cell", "col_no").alias("left"))
-    all_rows = rows.select(*TABLE, "row_no", "is_sep").join(left, [*TABLE, "row_no"], "left").join(widths, list(TABLE), "left")
-    rule = F.array_join(F.transform("widths", separator_cell), "|")
-    text = F.array_join(F.transform("widths", lambda w, i: pad_cell(F.get("left", i), w)), "|")
-    line = F.concat(F.lit("|"), F.when(F.col("is_sep"), rule).otherwise(text), F.lit("|"))
-    out = all_rows.withColumn("line", line).groupBy(*TABLE).agg(F.array_join(ordered("line", "row_no"), "\n").alias("rebuilt"))
-    return out.select(*TABLE, F.coalesce("rebuilt", F.lit("")).alias("rebuilt"))
+def printed(rows: str, widths: str):
+    """A table's lines from its rows (row_no, is_sep, left) and the widths of its columns; empty without columns."""
+    rule = F.concat(F.lit("|"), F.array_join(F.transform(widths, separator_cell), "|"), F.lit("|"))
 
+    def text(r):
+        return F.concat(F.lit("|"), F.array_join(F.transform(widths, lambda w, i: pad_cell(F.get(r["left"], i), w)), "|"), F.lit("|"))
 
-def table_stats(rows: DataFrame, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> DataFrame:
-    """One row per table block: place, size, counts and route."""
-    facts = rows.groupBy(*TABLE).agg(
+    return F.when(F.size(widths) == 0, "").otherwise(F.array_join(F.transform(rows, lambda r: F.when(r["is_sep"], rule).otherwise(text(r))), "\n"))
+
+
+def table_parts(cells: DataFrame) -> DataFrame:
+    """Per table, of flagged cells: its facts (see table_stats), and rows, widths, records and lines to print it from."""
+    beside = cells.withColumn("is_empty", F.bool_and("is_blank").over(by_column())).withColumn("field_name", name_of_column().over(by_column()))
+    width = F.greatest(F.lit(MIN_WIDTH), F.max(F.length("cell")).over(by_column()))
+    beside = beside.withColumn("column", F.when(F.col("col_no").isNotNull() & ~F.col("is_empty"), F.struct("col_no", width.alias("width"))))
+    is_field = F.col("is_record") & ~F.col("is_blank")
+
+    def in_order(value):
+        return F.transform(F.array_sort(F.collect_list(value)), lambda x: x["text_"])
+
+    rows = beside.groupBy(*TABLE, "row_no").agg(
+        F.first("line_no").alias("line_no"),
+        F.first("is_sep").alias("is_sep"),
+        F.first("line").alias("line"),
+        F.first("is_record").alias("is_record"),
+        F.coalesce(F.max("col_no") + 1, F.lit(0)).alias("n_cols"),
+        F.coalesce(F.max(F.length("cell")), F.lit(0)).alias("max_cell_len"),
+        F.collect_list(F.when(F.col("is_empty") & F.col("col_no").isNotNull(), F.col("col_no"))).alias("empty"),
+        F.collect_list("column").alias("columns"),
+        in_order(F.when(F.col("column").isNotNull(), F.struct("col_no", F.col("cell").alias("text_")))).alias("left"),
+        F.array_join(in_order(F.when(is_field, F.struct("col_no", field_text("field_name", "cell").alias("text_")))), "\n").alias("record"),
+    )
+
+    def distinct(column: str):
+        return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
+
+    return rows.groupBy(*TABLE).agg(
         (F.min("line_no") + 1).alias("first_line"),
         (F.max("line_no") + 1).alias("last_line"),
         F.count("*").alias("n_lines"),
         F.coalesce(F.max(F.when(F.col("is_sep"), F.col("row_no"))), F.lit(-1)).alias("last_sep_row"),
-        F.coalesce(F.max(F.size("cells")), F.lit(0)).alias("n_cols"),
-        F.coalesce(F.max(F.array_max(F.transform("cells", F.length))), F.lit(0)).alias("max_cell_len"),
+        F.max("n_cols").alias("n_cols"),
+        F.max("max_cell_len").alias("max_cell_len"),
+        F.size(distinct("empty")).cast("long").alias("n_empty_cols"),
+        F.bool_or("is_record").alias("listed"),
+        F.transform(distinct("columns"), lambda c: c["width"]).alias("widths"),
+        F.array_sort(F.collect_list(F.struct("row_no", "is_sep", "left"))).alias("rows"),
+        F.array_join(ordered("line", "row_no"), "\n").alias("lines"),
+        F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "is_record", "record"))), lambda r: F.when(r["is_record"], r["record"])), lambda r: r.isNotNull()), RECORD_BREAK).alias("structured"),
     )
-    empty = empty_columns(md_cells(rows)).groupBy(*TABLE).agg(F.count_if("is_empty").alias("n_empty"))
-    listed = table_records(rows).select(*TABLE).distinct().withColumn("listed", F.lit(True))
-    out = facts.join(empty, list(TABLE), "left").join(listed, list(TABLE), "left").withColumn("n_empty_cols", F.coalesce("n_empty", F.lit(0)))
+
+
+def routed(parts: DataFrame, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> DataFrame:
     wide = (F.col("n_cols") > max_cols) | (F.col("max_cell_len") > max_cell)
     route = F.when(F.col("last_sep_row") < 0, "R1").when(wide & F.col("listed"), "R2").when(wide, "R3").when(F.col("n_empty_cols") > 0, "R4").otherwise("R5")
-    return out.withColumn("is_complex", wide).withColumn("route", route).drop("n_empty", "listed")
+    return parts.withColumn("is_complex", wide).withColumn("route", route)
+
+
+def rebuild_tables(rows: DataFrame) -> DataFrame:
+    """Per table, its rows as even lines, without the empty columns; empty if none is left."""
+    return table_parts(flagged_cells(rows)).select(*TABLE, printed("rows", "widths").alias("rebuilt"))
+
+
+def table_stats(rows: DataFrame, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> DataFrame:
+    """One row per table block: place, size, counts and route."""
+    facts = ("first_line", "last_line", "n_lines", "last_sep_row", "n_cols", "max_cell_len", "n_empty_cols", "is_complex", "route")
+    return routed(table_parts(flagged_cells(rows)), max_cols, max_cell).select(*TABLE, *facts)
 
 
 def clean_tables_exploded(docs: DataFrame) -> DataFrame:
     """doc_id, content: the same result as the narrow form, by way of the tables."""
     lines = md_lines(docs)
-    rows = md_rows(lines)
-    routes = table_stats(rows).select(*TABLE, "first_line", "route")
-    done = routes.join(structured_lists(rows), list(TABLE), "left").join(rebuild_tables(rows, md_cells(rows)), list(TABLE), "left")
-    text = F.when(F.col("route") == "R2", F.col("structured")).otherwise(F.col("rebuilt"))
-    made = done.where("route in ('R2', 'R4')").select(*TABLE, (F.col("first_line") - 1).alias("line_no"), text.alias("line"))
-    kept = lines.join(made.select(*TABLE), list(TABLE), "left_anti").select("doc_id", "line_no", "line")
-    parts = kept.unionByName(made.select("doc_id", "line_no", "line"))
+    tables = routed(table_parts(flagged_cells(md_rows(lines))))
+    text = F.when(F.col("route") == "R2", F.col("structured")).when(F.col("route") == "R4", printed("rows", "widths")).otherwise(F.col("lines"))
+    made = tables.select("doc_id", (F.col("first_line") - 1).alias("line_no"), text.alias("line"))
+    parts = lines.where("table_no is null").select("doc_id", "line_no", "line").unionByName(made)
     return parts.groupBy("doc_id").agg(F.array_join(ordered("line", "line_no"), "\n").alias("content"))
 
 
@@ -175,9 +232,8 @@ def table_to_markdown(df: DataFrame, keys: list[str], columns: list[str], order:
 def lost_content(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Words of data cells that a cleaned document no longer holds: doc_id, word. Expected to be empty but for words of
     sub-header rows and of headers without values in tables that became lists."""
-    rows = md_rows(md_lines(raw))
     words = F.explode(F.split(bold0("cell"), r"[\s*:|]+"))
-    cells = md_cells(rows).where("data_row_no >= 1 and not is_blank").join(subheader_rows(rows).select(*TABLE, "row_no"), [*TABLE, "row_no"], "left_anti")
+    cells = flagged_cells(md_rows(md_lines(raw))).where("data_row_no >= 1 and not is_blank and not is_sub")
     before = cells.select("doc_id", words.alias("word")).where("word <> ''").distinct()
     after = clean.select("doc_id", F.explode(F.split("content", r"[\s*:|]+")).alias("word")).distinct()
     return before.join(after, ["doc_id", "word"], "left_anti")

@@ -134,8 +134,11 @@ def clean_tables(content: Column | str, max_cols: int = MAX_COLS, max_cell: int
 
         return bound(F.transform(lines, is_table_line), cut)
 
-    has_table = F.exists(split_lines(content), is_table_line)
-    return F.when(F.contains(col(content), F.lit("|")) & has_table, bound(split_lines(content), by_runs)).otherwise(col(content))
+    def whole(x: Column) -> Column:  # bound, so that what content is made of is worked out once
+        has_table = F.contains(x, F.lit("|")) & F.exists(split_lines(x), is_table_line)
+        return F.when(has_table, bound(split_lines(x), by_runs)).otherwise(x)
+
+    return bound(col(content), whole)
 
 
 def clean_markdown(content: Column | str, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:

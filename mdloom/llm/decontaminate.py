@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import mix, pieces, written
+from mdloom.llm.common import mix, pieces, small_batches, written
 
 WINDOW = 13
 FILTER_BITS = 1 << 22
@@ -160,6 +160,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A bit set of fixed size (4 Mbit) over the items' fingerprints thins the documents' fingerprints before the join; a full
     set would thin less and lose nothing. The join's hot hashes are split by adaptive execution.
     """
+    small_batches(docs.sparkSession)
     doc = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     item = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"), F.lit(0).cast("long").alias("row"))
     marks = item.mapInArrow(fingerprints(list(range(1, WINDOW + 1)), None, True), SCHEMA).where("hash is not null")

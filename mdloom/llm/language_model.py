@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import mix, packed_by, partitions, pieces, shared_dir, unpack_all, written
+from mdloom.llm.common import mix, packed_by, partitions, pieces, shared_dir, small_batches, unpack_all, written
 from mdloom.llm.decontaminate import WordHashes
 from mdloom.llm.token_files import _place
 
@@ -251,6 +251,7 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     sorted and held against the pages in order. One way for every size, with memory for a batch and what is mapped of the pages.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     folder = shared_dir(spark, "language-model")
     buckets, v, n_train = train(base.where("training"), folder)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import mix, pieces, texts
+from mdloom.llm.common import mix, pieces, small_batches, texts
 
 #: Kinds of bytes: a-z, A-Z, digits, spaces, sentence marks, "!", "|", other ASCII marks, bytes from 0x80, controls.
 KINDS = 10
@@ -214,4 +214,5 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: floa
             if score:
                 yield batch.filter(pa.array(np.concatenate(score) >= least))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -96,6 +96,20 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+_OP6 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS opens FROM w JOIN f USING (s) WHERE doc_id > least),
+r AS (SELECT doc_id, n, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM o) GROUP BY 1, 2),
+k AS (SELECT r.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, any_value(substr(h, 1, 2 * (first_a))) AS h0,
+      string_agg(substr(h, 2 * b + 1, 2 * (next_a - b)), '' ORDER BY a) AS h1
+      FROM (SELECT *, lead(a, 1, 1000000000) OVER (PARTITION BY doc_id ORDER BY a) AS next_a, min(a) OVER (PARTITION BY doc_id) AS first_a FROM r) r JOIN d ON d.doc_id = r.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(h0 || h1, h))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 _REACH = """
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
@@ -124,4 +138,4 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, l
 FROM v LEFT JOIN least_of ON least_of.a = vec_id
 """
 
-ORACLES = {"op4_decontamination": _OP4, "op9_jaccard_join": _OP9, "op10_embedding_links": _OP10}
+ORACLES = {"op4_decontamination": _OP4, "op6_suffix_dedup": _OP6, "op9_jaccard_join": _OP9, "op10_embedding_links": _OP10}

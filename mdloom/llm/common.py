@@ -84,6 +84,30 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long").eqNullSafe(ids.gone), "left_anti")
 
 
+RESIDENT: list = [None, None]
+
+
+def resident(make, *args):
+    """make(*args), kept in this process for its further tasks until another one is asked for: a worker holds one at a time."""
+    key = (make, args)
+    if RESIDENT[0] != key:
+        RESIDENT[:] = None, None
+        give_back()
+        RESIDENT[:] = key, make(*args)
+    return RESIDENT[1]
+
+
+def give_back() -> None:
+    """Freed memory goes to the system, where the C library can do that."""
+    import contextlib
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

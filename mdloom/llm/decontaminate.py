@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import mix, pieces, small_batches, written
+from mdloom.llm.common import mix, pieces, resident, small_batches, written
 
 WINDOW = 13
 FILTER_BITS = 1 << 22
@@ -30,7 +30,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -83,7 +83,7 @@ def fingerprints(lengths: list[int], keep: np.ndarray | None, whole_items: bool)
     def run(batches):
         import pyarrow as pa
 
-        book = WordHashes()
+        book = resident(WordHashes)
         for batch in pieces(batches):
             lists = [words_of(t) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(x) for x in lists], np.int64)

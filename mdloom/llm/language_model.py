@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import mix, packed_by, partitions, pieces, shared_dir, small_batches, unpack_all, written
+from mdloom.llm.common import mix, packed_by, partitions, pieces, resident, shared_dir, small_batches, unpack_all, written
 from mdloom.llm.decontaminate import WordHashes
 from mdloom.llm.token_files import _place
 
@@ -190,7 +190,7 @@ def train(texts_: DataFrame, folder: str) -> tuple[int, int, int]:
     def count(batches):
         import pyarrow as pa
 
-        book = WordHashes()
+        book = resident(WordHashes)
         for batch in pieces(batches, 8_000_000):
             tokens, _ = token_hashes(batch.column("text").to_pylist(), book)
             before = np.concatenate([[np.uint64(book[END])], tokens[:-1]]).astype(np.uint64)
@@ -259,7 +259,7 @@ def score_documents(docs: DataFrame, training, id_col: str = "doc_id", text_col:
     def score(batches):
         import pyarrow as pa
 
-        book, model = WordHashes(), opened(folder, buckets)
+        book, model = resident(WordHashes), opened(folder, buckets)
         for batch in pieces(batches, 4_000_000):
             tokens, sizes = token_hashes(batch.column("text").to_pylist(), book)
             distinct, at = np.unique(tokens, return_inverse=True)

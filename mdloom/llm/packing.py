@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import pieces, texts, written
+from mdloom.llm.common import pieces, resident, texts, written
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, chunk long, nth long"
 
@@ -67,7 +67,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 1024, end_
 
         part = TaskContext.get().partitionId()
         for n, batch in enumerate(pieces(batches)):
-            ids, sizes = id_book(tokenizer_path, end_id).encode(batch.column("text").to_pylist())
+            ids, sizes = resident(id_book, tokenizer_path, end_id).encode(batch.column("text").to_pylist())
             raw, ends = ids.astype("<u4"), np.cumsum(sizes)
             count = -(-sizes // limit)
             doc = np.repeat(np.arange(len(sizes)), count)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import mix, pieces, small_batches, texts
+from mdloom.llm.common import mix, pieces, resident, small_batches, texts
 
 #: Kinds of bytes: a-z, A-Z, digits, spaces, sentence marks, "!", "|", other ASCII marks, bytes from 0x80, controls.
 KINDS = 10
@@ -208,6 +208,7 @@ def keep_good(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: floa
     def run(batches):
         import pyarrow as pa
 
+        resident(tuple)
         for batch in batches:
             text = pa.RecordBatch.from_arrays([batch.column(text_col).fill_null("")], ["text"])
             score = [scores_of(piece.column("text").to_pylist(), model) for piece in pieces([text])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from mdloom.llm.common import pieces, texts
+from mdloom.llm.common import pieces, resident, texts
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +22,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
         from mdloom.llm.words import count_book
 
         for batch in pieces(batches):
-            book = count_book(tokenizer_path)
+            book = resident(count_book, tokenizer_path)
             text = batch.column("text")
             n_bytes = pa.compute.binary_length(text).cast(pa.int64())
             n = pa.array(book.sums(text.to_pylist()), pa.int64())

@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from mdloom.llm.common import partitions, pieces, texts
+from mdloom.llm.common import partitions, pieces, resident, texts
 
 NULL_ID = -(2**63)
 
@@ -62,7 +62,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
         n, out, ends, names, total = 0, None, [], [], 0
         for batch in pieces(batches):
-            ids, sizes = id_book(tokenizer_path, end_id).encode(batch.column("text").to_pylist())
+            ids, sizes = resident(id_book, tokenizer_path, end_id).encode(batch.column("text").to_pylist())
             if int(ids.max(initial=0)) > top:
                 raise ValueError(f"id {ids.max()} doesn't fit {dtype}; write wide files")
             if out is None:

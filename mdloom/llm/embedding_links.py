@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mdloom.llm.common import components, join_counted, partitions, written
 
-CHUNK, SEATS, LEAF, STRIP = 8000, 1 << 20, 6000, 128
+CHUNK, SEATS, LEAF, STRIP = 8000, 1 << 20, 6000, 32
 LEAST_SEATS, SAMPLE = 500, 16_384
 SLACK = 1e-7
 
@@ -95,8 +95,9 @@ def strips(x: np.ndarray, y: np.ndarray, radius: float):
                 stack.append((part, j[(other >= own.min() - radius) & (other <= own.max() + radius)], level + 1))
 
 
-def linked(home: np.ndarray, others: np.ndarray, grid: Grid, turn: np.ndarray, block: int, threshold: float):
-    """(i, j) of the pairs that this block proposes first and whose cosine reaches the threshold."""
+def linked(home: np.ndarray, others: np.ndarray, grid: Grid, turn: np.ndarray, block: int, threshold: float, same: np.ndarray | None = None):
+    """(i, j) of the pairs that this block proposes first and whose cosine reaches the threshold. same: where each of home lies in
+    others, if all do; each pair of these then comes once."""
     a, b = home @ turn, others @ turn
     at, radius = grid.blocks[block], grid.radius[block]
     a32, b32 = a[:, at].astype(np.float32), b[:, at].astype(np.float32)
@@ -104,13 +105,22 @@ def linked(home: np.ndarray, others: np.ndarray, grid: Grid, turn: np.ndarray, b
     left = np.concatenate([-2 * a32, (a32 * a32).sum(1)[:, None], np.repeat(one, len(a), 0)], 1)
     right = np.concatenate([b32, np.repeat(one, len(b), 0), (b32 * b32).sum(1)[:, None]], 1)
     limit = np.float32(radius**2 + 1e-5)
+    done = np.zeros(len(b), bool)
     for rows, columns in strips(a[:, at], b[:, at], radius):
+        if same is not None:
+            columns = columns[~done[columns]]
+            done[same[rows]] = True
         near = left[rows] @ right[columns].T <= limit
         i, j = np.divmod(np.flatnonzero(near), len(columns)) if len(columns) else (rows[:0], rows[:0])
         for s in range(0, len(i), 20_000):
             p, q = rows[i[s : s + 20_000]], columns[j[s : s + 20_000]]
             fit = np.einsum("ij,ij->i", home[p], others[q]) >= threshold
             p, q = p[fit], q[fit]
+            if same is not None:  # within a strip, from the smaller place
+                own = np.full(len(b), -1)
+                own[same[rows]] = rows
+                once = (own[q] < 0) | (own[q] > p)
+                p, q = p[once], q[once]
             square = (a[p] - b[q]) ** 2
             first = np.full(len(p), -1)
             for k in range(len(grid.blocks) - 1, -1, -1):
@@ -213,11 +223,13 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.95, width: int = 8,
         x = unit(frame["raw"].tolist(), kind)
         home, seated = np.flatnonzero(frame["chosen"].to_numpy()), np.flatnonzero(frame["seated"].to_numpy())
         del frame
+        same = home if len(seated) == len(ids) and len(home) == at_home.sum() else None  # all of the cell is here
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for p, q in linked(x[home], x[seated], grids[dim], rotation(dim), block, threshold):
+        for p, q in linked(x[home], x[seated], grids[dim], rotation(dim), block, threshold, same):
             p, q = home[p], seated[q]
-            once = ~at_home[q] | (ids[p] < ids[q])  # two at home meet from both sides
-            p, q = p[once], q[once]
+            if same is None:  # two at home meet from both sides, here or in another task
+                once = ~at_home[q] | (ids[p] < ids[q])
+                p, q = p[once], q[once]
             np.add.at(links, p, weight[q])
             np.add.at(links, q, weight[p])
             join_roots(root, p, q)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mdloom.llm.common import Ranges, mix, packed_by, partitions, pieces, resident, small_batches, unpack_all, written
 from mdloom.llm.decontaminate import sliding
@@ -156,7 +157,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
     of content, so copies of one passage spread over as many buckets as it has anchors, each task sends one of equal
     anchors, and a run of one byte or of a short pattern is one anchor.
     """
-    spark, kinds = docs.sparkSession, dict(docs.dtypes)
+    spark = docs.sparkSession
     buckets, groups = 4 * partitions(spark), 4 * partitions(spark)
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
@@ -274,7 +275,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
         columns = [text.column("doc_id"), left, *(pa.array(x, pa.int64()) for x in ([len(t) for t in raw], removed, runs)), *(text.column(f"carried_{i}") for i in range(len(carry)))]
         return pa.Table.from_arrays(columns, ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", *(f"carried_{i}" for i in range(len(carry)))])
 
-    out = base.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(cut, ", ".join([f"doc_id long, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long", *(f"carried_{i} {kinds[c]}" for i, c in enumerate(carry))]))
+    fields = {"doc_id": T.LongType(), "kept": T.StringType() if as_text else T.BinaryType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType()}
+    fields |= {f"carried_{i}": docs.schema[c].dataType for i, c in enumerate(carry)}
+    out = base.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(cut, T.StructType([T.StructField(k, v) for k, v in fields.items()]))
     return out.withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
 
 

@@ -104,6 +104,7 @@ def give_back() -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -199,6 +200,7 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def unpack_all(blobs: Iterable[bytes], *kinds: str) -> list[np.ndarray]:
+    resident(tuple)  # a group's arrays are large, so nothing else stays beside them
     parts = [unpack(b, *kinds) for b in blobs]
     return [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, k) for i, k in enumerate(kinds)]
 

@@ -12,6 +12,7 @@ from mdloom.llm.embedding_links import embedding_links
 from mdloom.llm.jaccard_join import jaccard_components
 from mdloom.llm.language_model import score_documents
 from mdloom.llm.packing import pack_documents
+from mdloom.llm.periodic_runs import periodic_runs
 from mdloom.llm.quality import learn_quality, score_quality
 from mdloom.llm.repeats import repeated_spans
 from mdloom.llm.token_counts import token_counts
@@ -77,7 +78,39 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_files, op3_token_counts, op4_decontamination, op5_url_filter, op6_suffix_dedup, op7_packing, op8_quality, op9_jaccard_join, op10_embedding_links)}
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: with h the crc32 of doc_id and g = h div 10, texts of h % 10 = 0 go on from word g % n with the period that the
+    contract sets; others, and those of null ids, stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def turned(words: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(words)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        return F.array_join(F.transform(words, lambda x, i: F.when(i < a, x).otherwise(F.get(words, (a + (i - a) % p).cast("int")))), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (F.trim(F.col("text"), F.lit(" \t\n\x0b\f\r")) != ""), F.get(F.transform(F.array(words), turned), F.lit(0))).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.shorter")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(F.lit(-1000) * F.col("best.shorter") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+    return out
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_files, op3_token_counts, op4_decontamination, op5_url_filter, op6_suffix_dedup, op7_packing, op8_quality, op9_jaccard_join, op10_embedding_links, op12_periodic_runs)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -138,4 +171,35 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, l
 FROM v LEFT JOIN least_of ON least_of.a = vec_id
 """
 
-ORACLES = {"op4_decontamination": _OP4, "op6_suffix_dedup": _OP6, "op9_jaccard_join": _OP9, "op10_embedding_links": _OP10}
+
+
+def _crc32(x: str) -> str:
+    """The crc32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda v, _: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({x}, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+
+
+#: Runs by ranks of 1, 2, 4 ... words (as in prefix doubling): where a rank's next occurrence, q words on, is more than half its
+#: own length away and at most all of it, places in a row with the same q are one run of period q.
+_OP12 = rf"""
+WITH RECURSIVE o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, {_crc32("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN (h // 10) % len(o) END AS a FROM o),
+p AS (SELECT *, 1 + (len(o) - a) // (3 + (h // 10) % 8) AS p FROM a),
+d AS (SELECT doc_id, CASE WHEN a IS NULL THEN o ELSE list_transform(o, lambda x, i: CASE WHEN i - 1 < a THEN x ELSE o[a + (i - 1 - a) % p + 1] END) END AS w FROM p),
+w AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM d),
+ranks AS (SELECT doc_id, i, dense_rank() OVER (PARTITION BY doc_id ORDER BY x) AS r, 0 AS k FROM w
+          UNION ALL SELECT doc_id, i, dense_rank() OVER (PARTITION BY doc_id ORDER BY r, s), k + 1
+          FROM (SELECT doc_id, i, r, k, lead(r, 1 << k) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM ranks) WHERE s IS NOT NULL),
+near AS (SELECT doc_id, i, k, lead(i) OVER (PARTITION BY doc_id, k, r ORDER BY i) - i AS q FROM ranks),
+runs AS (SELECT doc_id, min(i) AS s, max(i) - min(i) + q + (1 << k) AS n, q
+         FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, k, q ORDER BY i) AS island FROM near WHERE q <= 1 << k AND 2 * q > 1 << k)
+         GROUP BY doc_id, k, q, island HAVING max(i) - min(i) + q + (1 << k) >= greatest(6, 4 * q)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+r AS (SELECT doc_id, count(*) AS n_runs, min({{'l': -n, 's': s, 'q': q}}) AS best, string_agg(concat(s, ',', n, ',', q, chr(10)), '' ORDER BY s, q) AS t FROM runs GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(-best.l AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period, CAST(-1000 * best.l // best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(r.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+ORACLES = {"op12_periodic_runs": _OP12, "op4_decontamination": _OP4, "op6_suffix_dedup": _OP6, "op9_jaccard_join": _OP9, "op10_embedding_links": _OP10}

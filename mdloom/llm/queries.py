@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import shared_dir, table
+from mdloom.llm.common import shared_dir, table, written
+from mdloom.llm.conversation_repair import audits, repair_reports
 from mdloom.llm.decontaminate import contamination
 from mdloom.llm.embedding_links import embedding_links
 from mdloom.llm.jaccard_join import jaccard_components
@@ -110,7 +111,23 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_files, op3_token_counts, op4_decontamination, op5_url_filter, op6_suffix_dedup, op7_packing, op8_quality, op9_jaccard_join, op10_embedding_links, op12_periodic_runs)}
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, copy, there: rows damaged by the crc32 of conv_id:turn modulo 20; a dropped row isn't there but still
+    names its conversation."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = conversations.select("conv_id", "turn", *(F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")), (F.crc32(key.cast("binary")) % 20).alias("fault"))
+    fault = F.col("fault")
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (fault != 0).alias("there"), F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("copies"))
+    return rows.select("conv_id", "turn", "role", "text", "there", F.explode("copies").alias("copy"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return repair_reports(rows, written(audits(rows), "audits"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_files, op3_token_counts, op4_decontamination, op5_url_filter, op6_suffix_dedup, op7_packing, op8_quality, op9_jaccard_join, op10_embedding_links, op12_periodic_runs, op13_conversation_repair)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -202,4 +219,57 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start,
 FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLES = {"op12_periodic_runs": _OP12, "op4_decontamination": _OP4, "op6_suffix_dedup": _OP6, "op9_jaccard_join": _OP9, "op10_embedding_links": _OP10}
+
+
+def _edits() -> str:
+    """One row's step of op13, forward: the cheapest (cost, edits, messages) for each state, of all ways to get there; inserts last."""
+    def way(f: str, cost: str, letter: str, message: str = "", when: str = "TRUE") -> str:
+        said = f"list_append({f}.t, {message})" if message else f"{f}.t"
+        return f"CASE WHEN {when} THEN {{'c': {f}.c + {cost}, 'e': {f}.e || '{letter}', 't': {said}}} END"
+
+    def least(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+    stays, own, user, other = "NOT gone", "role || ':' || text", "'user:' || text", "'assistant:' || text"
+    keeps = lambda f, initial: way(f, "cut", "K", own, f"{stays} AND left(role, 1) = '{initial}'")
+    reads = {
+        "g0": [way("f0", "3", "D"), keeps("f0", "")],
+        "g1": [way("f1", "3", "D"), keeps("f1", ""), keeps("f0", "s")],
+        "g2": [way("f2", "3", "D"), keeps("f2", ""), *(keeps(f, "u") for f in ("f0", "f1", "f3")), *(way(f, "2 + cut", "R", user, stays) for f in ("f0", "f1", "f3"))],
+        "g3": [way("f3", "3", "D"), keeps("f3", ""), keeps("f2", "a"), way("f2", "2 + cut", "R", other, stays)],
+    }
+    return ", ".join(f"{least(*ways)} AS {g}" for g, ways in reads.items())
+
+
+def _inserts(g: tuple[str, str, str, str]) -> str:
+    """The same after inserts, of which more than two are never cheapest."""
+    def one(f: str) -> str:
+        return f"{{'c': {f}.c + 2, 'e': {f}.e || 'I', 't': list_append({f}.t, 'user:')}}"
+
+    def two(f: str) -> str:
+        return f"{{'c': {f}.c + 4, 'e': {f}.e || 'II', 't': list_append(list_append({f}.t, 'user:'), 'assistant:')}}"
+
+    third = f"{{'c': {g[2]}.c + 2, 'e': {g[2]}.e || 'I', 't': list_append({g[2]}.t, 'assistant:')}}"
+    return f"{g[0]} AS f0, {g[1]} AS f1, list_sort([{g[2]}, {one(g[0])}, {one(g[1])}, {one(g[3])}])[1] AS f2, list_sort([{g[3]}, {third}, {two(g[0])}, {two(g[1])}])[1] AS f3"
+
+
+_NOWHERE = "{'c': 1000000, 'e': '', 't': ['']}"
+_OP13 = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS fault FROM conversations),
+d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE fault <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n FROM d),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, lead(role) OVER (PARTITION BY conv_id ORDER BY n) AS following,
+      NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS unended FROM o),
+f AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN again THEN 'duplicate' WHEN unended THEN 'truncated' END AS fault, blank OR again AS gone, CASE WHEN unended AND NOT blank AND NOT again THEN 1 ELSE 0 END AS cut FROM q),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+      count(*) FILTER (following IS NOT NULL AND left(role, 1) || left(following, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM f GROUP BY 1),
+s AS (SELECT conv_id, 0 AS n, f0, f1, f2, f3 FROM (SELECT conv_id, {_inserts(("z", "x", "x", "x"))} FROM (SELECT conv_id, {{'c': 0, 'e': '', 't': ['']}} AS z, {_NOWHERE} AS x FROM c))
+      UNION ALL SELECT conv_id, n, {_inserts(("g0", "g1", "g2", "g3"))} FROM (SELECT s.conv_id, f.n, {_edits()} FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.n = s.n + 1)),
+e AS (SELECT s.conv_id, list_sort([f0, f3])[1] AS best FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.n = c.n)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.e, '') AS audit, sha256(coalesce(array_to_string(best.t[2:], chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM k) k LEFT JOIN c ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON k.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+ORACLES = {"op12_periodic_runs": _OP12, "op13_conversation_repair": _OP13, "op4_decontamination": _OP4, "op6_suffix_dedup": _OP6, "op9_jaccard_join": _OP9, "op10_embedding_links": _OP10}

@@ -16,6 +16,7 @@ from mdloom.llm.packing import pack_documents
 from mdloom.llm.periodic_runs import periodic_runs
 from mdloom.llm.quality import learn_quality, score_quality
 from mdloom.llm.repeats import repeated_spans
+from mdloom.llm.secret_scan import KINDS, find_secrets, learn_secrets
 from mdloom.llm.token_counts import token_counts
 from mdloom.llm.token_files import read_token_files, write_token_files
 from mdloom.llm.url_filter import url_verdicts
@@ -79,6 +80,15 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = find_secrets(docs, learn_secrets(docs))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    joined = {c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",") for c in ("base", "findings")}
+    return out.select("doc_id", *counts, F.sha2(joined["base"].cast("binary"), 256).alias("base_sha256"), joined["findings"].alias("spans"))
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id, text: with h the crc32 of doc_id and g = h div 10, texts of h % 10 = 0 go on from word g % n with the period that the
     contract sets; others, and those of null ids, stay."""
@@ -127,7 +137,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_reports(rows, written(audits(rows), "audits"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_files, op3_token_counts, op4_decontamination, op5_url_filter, op6_suffix_dedup, op7_packing, op8_quality, op9_jaccard_join, op10_embedding_links, op12_periodic_runs, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_files, op3_token_counts, op4_decontamination, op5_url_filter, op6_suffix_dedup, op7_packing, op8_quality, op9_jaccard_join, op10_embedding_links, op11_secret_scan, op12_periodic_runs, op13_conversation_repair)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -260,7 +270,9 @@ d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
       unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE fault <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS n FROM d),
 q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, lead(role) OVER (PARTITION BY conv_id ORDER BY n) AS following,
-      NOT regexp_matches(text, '[^ 	-]') AS blank, NOT regexp_matches(text, '[.!?][ 	-]*$') AS unended FROM o),
+      NOT regexp_matches(text, '[^ 	-
+]') AS blank, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS unended FROM o),
 f AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN again THEN 'duplicate' WHEN unended THEN 'truncated' END AS fault, blank OR again AS gone, CASE WHEN unended AND NOT blank AND NOT again THEN 1 ELSE 0 END AS cut FROM q),
 c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
       count(*) FILTER (following IS NOT NULL AND left(role, 1) || left(following, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n FROM f GROUP BY 1),

@@ -651,5 +651,5 @@ def test_pipeline_stages(spark):
 
 
 def test_queries_are_registered():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mdloom.functions.text import WS
-from mdloom.plans.reports import reports_sql, roughened_sql
+from mdloom.plans.reports import lines_of_orders, reports_sql, roughened_sql
 
 _WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in WS) + ")"
 _CLASS = "".join(f"\\x{{{ord(c):X}}}" for c in WS)
@@ -94,9 +94,10 @@ cleaned AS (SELECT doc_id, {whitespace('content')} AS content_clean FROM tables_
 
 
 def _html(x: str) -> str:
-    steps = [("(?s)<!--.*?-->", "''"), ("(?is)<script\\b.*?</script\\s*>", "''"), ("(?is)<style\\b.*?</style\\s*>", "''"), ("(?is)<head\\b.*?</head\\s*>", "''")]
+    """HTML as the pages have it: no tables, no nested lists, every list below no other, addresses in double quotes."""
+    steps = [("(?s)<!--.*?-->", "''"), ("(?is)<script\\b.*?</script\\s*>", "''"), ("(?is)<style\\b.*?</style\\s*>", "''"), ("(?is)<head\\b.*?</head\\s*>", "''"), ("[ \\t\\n\\f\\r]+", "' '"), ('(?i)<a href="([^"]*)">([^<]*)</a>', "'[\\2](\\1)'")]
     steps += [(f"(?i)<h{n}\\b[^>]*>", f"concat(chr(10), chr(10), '{'#' * n} ')") for n in range(1, 7)]
-    steps += [("(?i)<li\\b[^>]*>", "concat(chr(10), '- ')"), ("(?i)</?(?:p|div|nav|article|footer|ul)\\b[^>]*>", "concat(chr(10), chr(10))"), ("(?i)<br\\b[^>]*>", "chr(10)"), ("<[^>]*>", "''")]
+    steps += [("(?i)<li\\b[^>]*>", "concat(chr(10), '- ')"), ("(?i)</?(?:p|div|nav|article|footer|ul|h[1-6])\\b[^>]*>", "concat(chr(10), chr(10))"), ("(?i)<br\\b[^>]*>", "chr(10)"), ("<[^>]*>", "''"), (" *\\n *", "chr(10)"), ("\\n{3,}", "concat(chr(10), chr(10))"), ("^\\n+|\\n+$", "''")]
     for pattern, to in steps:
         x = f"regexp_replace({x}, '{pattern}', {to}, 'g')"
     for entity, to in (("&quot;", "'\"'"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
@@ -109,6 +110,16 @@ _PAGES = f"WITH p AS (SELECT page_id, {_html('html')} AS raw, html FROM pages),
 _FILES = f"""{_PAGES}, f AS (SELECT *, concat('page', page_id, ['.html', '.HTML', '.docx', '.png'][page_id % 4 + 1]) AS original_filename, ['.html', '.html', '.docx', '.png'][page_id % 4 + 1] AS ext FROM m),
 j AS (SELECT sha256(concat(original_filename, chr(10), html)) AS job_id, original_filename, ext, html, CASE WHEN ext = '.html' THEN 'done' ELSE 'failed' END AS status,
       CASE WHEN ext <> '.html' THEN 'no converter for .docx' END AS error, CASE WHEN ext = '.html' THEN markdown END AS markdown FROM f WHERE ext <> '.png')"""
+#: What the pages of plans.reports.html_pages_sql hold, set as Markdown straight from the rows: the grid with its spans filled.
+_HTML_TABLES = f"""WITH x AS ({lines_of_orders()}),
+g AS (SELECT k, array_agg(CASE n % 3 WHEN 1 THEN [CAST(p AS VARCHAR), concat(q, '  ', f), CAST(c AS VARCHAR)] WHEN 2 THEN [CAST(before AS VARCHAR), concat(q, ' < &#124;'), concat(f, ', ', t, '; x')] ELSE [CAST(p AS VARCHAR), CAST(s AS VARCHAR), CAST(s AS VARCHAR)] END ORDER BY n) AS body
+      FROM (SELECT *, lag(p) OVER (PARTITION BY k ORDER BY n) AS before FROM x) GROUP BY 1),
+h AS (SELECT k, list_concat([list_concat(['part', 'amounts', 'amounts'], CASE k % 3 WHEN 1 THEN [''] WHEN 2 THEN list_transform(range(9), lambda i: 'notes') ELSE [] END), ['part', 'qty', 'price']], body) AS grid, [3, 4, 12][k % 3 + 1] AS wide FROM g),
+s AS (SELECT *, list_transform(range(1, wide + 1), lambda i: CAST(greatest(3, list_max(list_transform(grid, lambda r: length(coalesce(r[i], ''))))) AS INT)) AS w FROM h),
+l AS (SELECT k, list_transform(grid, lambda r: concat('| ', array_to_string(list_transform(range(1, wide + 1), lambda i: rpad(coalesce(r[i], ''), w[i], ' ')), ' | '), ' |')) AS rows,
+      concat('|', array_to_string(list_transform(w, lambda n: repeat('-', n + 2)), '|'), '|') AS rule FROM s)
+SELECT k AS doc_id, concat('## Order', chr(160), k, NL, NL, 'See [order **', k, '**](/o/', k, '?a=1&b=2) ', chr(8212), ' it''s *here*', NL, NL, '2. one', NL, '3. two', NL, '  - deep', NL, NL, 'Items of ', k, NL, NL,
+       rows[1], NL, rule, NL, array_to_string(rows[2:], NL), NL, NL, 'end ![z](/i.png)', NL, NL, '```', NL, ' a', NL, NL, '  b', NL, '```') AS content FROM l""".replace("NL", "chr(10)")
 _STAGE = "['uploading', 'extracting', 'generating', 'formatting', 'complete', 'error', 'idle'][event_id % 7 + 1]"
 _WORDS = r"'[\s*:|]+'"
 _ROUGH = f"WITH r AS ({roughened_sql()})"
@@ -124,6 +135,7 @@ ORACLES = {
     "result_records": f"{_FILES} SELECT status = 'done' AS success, job_id, original_filename, markdown FROM j",
     "lookup_jobs": f"{_FILES} SELECT w.job_id, j.job_id IS NOT NULL AS found, markdown FROM (SELECT sha256(concat(original_filename, chr(10), html)) AS job_id FROM f UNION ALL SELECT concat('none', page_id) FROM f) w LEFT JOIN j ON w.job_id = j.job_id",
     "pages_to_markdown": f"{_PAGES} SELECT page_id, markdown FROM m",
+    "html_tables": f"{_BASE.replace(reports_sql(False), _HTML_TABLES)} SELECT doc_id, content AS markdown, content_clean FROM docs JOIN cleaned USING (doc_id)",
     "write_clean": f"{_BASE} SELECT * FROM cleaned",
     "table_lines": f"{_BASE} SELECT doc_id, line_no, line FROM md_lines WHERE is_table_line",
     "separator_rows": f"{_BASE} SELECT doc_id, table_no, row_no, line FROM md_rows WHERE is_sep",

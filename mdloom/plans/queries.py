@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdloom.functions import text as X
+from mdloom.functions.html import html_to_markdown
 from mdloom.operators import exploded as E
 from mdloom.operators import narrow as N
-from mdloom.plans.reports import reports, roughened
+from mdloom.plans.reports import html_pages, reports, roughened
 from mdloom.session import shared_folder, table
 from mdloom.sources import files as S
 from mdloom.streaming import streams as Z
@@ -90,6 +91,13 @@ def pages_to_markdown(spark, sf_dir):
     return S.pages_to_markdown(table(spark, sf_dir, "pages"))
 
 
+@query
+def html_tables(spark, sf_dir):
+    """Pages with tables, raw and cleaned."""
+    raw = html_pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), html_to_markdown("html").alias("markdown"))
+    return raw.select("doc_id", "markdown", N.clean_markdown("markdown").alias("content_clean"))
+
+
 @query
 def write_clean(spark, sf_dir):
     return S.write_clean(reports(spark, sf_dir), shared_folder(spark, "clean"))

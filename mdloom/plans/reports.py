@@ -23,6 +23,26 @@ SHAPES = {
 }
 
 
+def lines_of_orders() -> str:
+    """SELECT of an order's items: its key k, the items' columns under one letter, and their number n."""
+    return """SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s, CAST(floor(l_quantity) AS BIGINT) AS q, CAST(floor(l_extendedprice) AS BIGINT) AS c, l_returnflag AS f, l_linestatus AS t,
+           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem"""
+
+
+def html_pages_sql() -> str:
+    """SELECT page_id, html for Spark: one page per order, with a table whose header and rows span, in three shapes (k % 3)."""
+    head = """concat('<!-- <table> --><script>if (a < b) "</p>"</script><h2 title="x>y">Order&nbsp;', k, '</h2><p>See <a class=q href="/o/', k, '?a=1&amp;b=2">order <b>', k, '</b></a> &mdash; it&#39;s <em>here</em></p>
+        <ol start=2><li>one<li>two<ul><li>deep</ul></ol><table border=1><caption>Items of ', k, '</caption><thead><tr><th rowspan=2>part</th><th colspan="2">amounts</th>',
+        CASE k % 3 WHEN 1 THEN '<th rowspan=2></th>' WHEN 2 THEN '<th colspan=9>notes</th>' ELSE '' END, '</tr><tr><th>qty<th>price</thead><tbody>')"""
+    row = """CASE n % 3 WHEN 1 THEN concat('<tr><td rowspan=2>', p, '<td>', q, '<br>', f, '<td>', c, '</tr>') WHEN 2 THEN concat('<tr><td>', q, ' &lt; |</td><td><table><tr><td>', f, '<td>', t, '<tr><td>x</table></td></tr>')
+        ELSE concat('<tr><td>', p, '</td><td colspan=2 class="a>b">', s, '</td></tr>') END"""
+    return f"""SELECT k AS page_id, concat(max({head}), listagg({row}, '') WITHIN GROUP (ORDER BY n), '</tbody></table><p>end <img alt="z" src=/i.png></p><pre>\n a\n\n  b</pre>') AS html FROM ({lines_of_orders()}) GROUP BY k"""
+
+
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(html_pages_sql().replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
+
+
 def reports_sql(spark: bool) -> str:
     """SELECT doc_id, content over orders and lineitem."""
     case = lambda i: "CASE o.o_orderkey % 8 " + " ".join(f"WHEN {k} THEN {v[i]}" for k, v in SHAPES.items()) + " END"

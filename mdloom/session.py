@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cpus: str = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; on a cluster, use the one that is there."""
-    conf = {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.host": "127.0.0.1"}
+    conf = {"spark.python.sql.dataFrameDebugging.enabled": "false", "spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.host": "127.0.0.1"}
     return SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
 
 

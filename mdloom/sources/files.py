@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mdloom.functions.html import html_to_markdown
 from mdloom.functions.text import extension, strip
 from mdloom.operators.narrow import clean_markdown
 
@@ -67,31 +68,6 @@ def job_ledger(files: DataFrame) -> DataFrame:
     return files.select(job.alias("job_id"), F.col("path").alias("source_path"), "original_filename", "ext", "content")
 
 
-def html_to_markdown(html: Column | str) -> Column:
-    """Raw HTML to Markdown, in this order: what isn't text goes, blocks become lines, other tags go, entities last."""
-    steps = (
-        (r"(?s)<!--.*?-->", ""),
-        (r"(?is)<script\b.*?</script\s*>", ""),
-        (r"(?is)<style\b.*?</style\s*>", ""),
-        (r"(?is)<head\b.*?</head\s*>", ""),
-        *((rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)),
-        (r"(?i)<li\b[^>]*>", "\n- "),
-        (r"(?i)</?(?:p|div|nav|article|footer|ul)\b[^>]*>", "\n\n"),
-        (r"(?i)<br\b[^>]*>", "\n"),
-        (r"<[^>]*>", ""),
-        ("&quot;", '"'),
-        ("&copy;", "©"),
-        ("&middot;", "·"),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&amp;", "&"),
-    )
-    out = F.col(html) if isinstance(html, str) else html
-    for pattern, text in steps:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(text))
-    return out
-
-
 def pages_to_markdown(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", clean_markdown(html_to_markdown("html")).alias("markdown"))
 

@@ -44,7 +44,7 @@ def test_a_bad_file_fails_alone(spark, folder):
         got = {r.original_filename: r for r in ledger.collect()}
         assert {k: r.error for k, r in got.items()} == errors
         assert all((r.status == "failed") == (r.error is not None) == (r.markdown is None) for r in got.values())
-        assert got["good.html"].markdown == "\n\ncafé\n\n"
+        assert got["good.html"].markdown == "café"
         assert {r.original_filename for r in S.failed_jobs(ledger).collect()} == {k for k, e in errors.items() if e}
     assert got["a.docx"].markdown == "2 bytes\n"
 

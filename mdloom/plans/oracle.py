@@ -120,6 +120,13 @@ l AS (SELECT k, list_transform(grid, lambda r: concat('| ', array_to_string(list
       concat('|', array_to_string(list_transform(w, lambda n: repeat('-', n + 2)), '|'), '|') AS rule FROM s)
 SELECT k AS doc_id, concat('## Order', chr(160), k, NL, NL, 'See [order **', k, '**](/o/', k, '?a=1&b=2) ', chr(8212), ' it''s *here*', NL, NL, '2. one', NL, '3. two', NL, '  - deep', NL, NL, 'Items of ', k, NL, NL,
        rows[1], NL, rule, NL, array_to_string(rows[2:], NL), NL, NL, 'end ![z](/i.png)', NL, NL, '```', NL, ' a', NL, NL, '  b', NL, '```') AS content FROM l""".replace("NL", "chr(10)")
+#: The file versions of plans.queries.arrivals with their runs; a page that changed has two.
+_ARRIVALS = f"""WITH v AS (SELECT page_id, concat('page', page_id, CASE WHEN page_id % 4 < 2 THEN '.html' ELSE '.docx' END) AS original_filename, CASE WHEN page_id % 4 < 2 THEN '.html' ELSE '.docx' END AS ext, run,
+  concat(html, CASE WHEN run = 2 AND page_id % 2 = 0 THEN '<p>changed</p>' ELSE '' END) AS html
+  FROM pages, (SELECT unnest([1, 2]) AS run) r WHERE CASE run WHEN 1 THEN page_id % 2 = 0 ELSE page_id % 2 = 1 OR page_id % 10 = 0 END),
+m AS (SELECT *, {_html('html')} AS raw FROM v),
+j AS (SELECT page_id, sha256(concat(original_filename, chr(10), html)) AS job_id, original_filename, ext, CASE WHEN ext = '.html' THEN 'done' ELSE 'failed' END AS status,
+  CASE WHEN ext <> '.html' THEN 'no converter for .docx' END AS error, CASE WHEN ext = '.html' THEN {whitespace(endings('raw'))} END AS markdown, CAST(run AS BIGINT) AS run FROM m)"""
 _STAGE = "['uploading', 'extracting', 'generating', 'formatting', 'complete', 'error', 'idle'][event_id % 7 + 1]"
 _WORDS = r"'[\s*:|]+'"
 _ROUGH = f"WITH r AS ({roughened_sql()})"
@@ -130,6 +137,9 @@ ORACLES = {
     "scan_markdown": "SELECT concat(conv_id, '.md') AS file_name, CAST(length(t) AS INT) AS n_chars, sha256(t) AS content_sha FROM (SELECT conv_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY turn, text) AS t FROM conversations GROUP BY 1)",
     "job_ledger": f"{_FILES} SELECT job_id, original_filename, ext FROM j",
     "convert_documents": f"{_FILES} SELECT job_id, original_filename, ext, status, error, markdown FROM j",
+    "incremental_conversion": f"{_ARRIVALS} SELECT * EXCLUDE (page_id) FROM j",
+    "current_jobs": f"{_ARRIVALS} SELECT * EXCLUDE (page_id, run) FROM j QUALIFY run = max(run) OVER (PARTITION BY page_id)",
+    "stream_conversion": f"{_ARRIVALS} SELECT * EXCLUDE (page_id, run) FROM j WHERE run = 1 OR page_id % 2 = 1",
     "failed_jobs": f"{_FILES} SELECT job_id, original_filename, ext, error FROM j WHERE status = 'failed'",
     "status_by_ext": f"{_FILES} SELECT ext, status, count(*) AS n FROM j GROUP BY 1, 2",
     "result_records": f"{_FILES} SELECT status = 'done' AS success, job_id, original_filename, markdown FROM j",

@@ -12,6 +12,8 @@ from mdloom.operators import narrow as N
 from mdloom.plans.reports import html_pages, reports, roughened
 from mdloom.session import shared_folder, table
 from mdloom.sources import files as S
+from mdloom.sources import ledger as L
+from mdloom.sources.sink import export_files
 from mdloom.streaming import streams as Z
 
 QUERIES = {}
@@ -30,7 +32,7 @@ def exported_pages(spark: SparkSession, sf_dir: str) -> str:
     """Every page as a file, its suffix by page_id % 4."""
     ext = F.element_at(F.array(*map(F.lit, (".html", ".HTML", ".docx", ".png"))), (F.col("page_id") % 4 + 1).cast("int"))
     folder = shared_folder(spark, "pages")
-    S.export_files(table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id", ext).alias("name"), "html"), folder, "name", "html")
+    export_files(table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id", ext).alias("name"), "html"), folder, "name", "html")
     return folder
 
 
@@ -46,7 +48,7 @@ def scan_documents(spark, sf_dir):
 @query
 def scan_markdown(spark, sf_dir):
     folder = shared_folder(spark, "markdown")
-    S.export_files(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(E.ordered("text", "turn"), "\n\n").alias("text")).select(F.concat("conv_id", F.lit(".md")).alias("name"), "text"), folder, "name", "text")
+    export_files(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(E.ordered("text", "turn"), "\n\n").alias("text")).select(F.concat("conv_id", F.lit(".md")).alias("name"), "text"), folder, "name", "text")
     return S.scan_markdown(spark, folder).select("file_name", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha"))
 
 
@@ -60,6 +62,46 @@ def convert_documents(spark, sf_dir):
     return ledger_of(spark, sf_dir).select("job_id", "original_filename", "ext", "status", "error", "markdown")
 
 
+def arrivals(spark: SparkSession, sf_dir: str, folder: str):
+    """Pages as files in two goes: those of even ids, then the others and changed ones of every tenth id; yields after each."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page"), "page_id", F.when(F.col("page_id") % 4 < 2, ".html").otherwise(".docx")).alias("name"), "page_id", "html")
+    export_files(pages.where("page_id % 2 = 0"), folder, "name", "html")
+    yield
+    changed = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit("<p>changed</p>"))).otherwise(F.col("html"))
+    export_files(pages.where("page_id % 2 = 1 or page_id % 10 = 0").withColumn("html", changed), folder, "name", "html")
+    yield
+
+
+@query
+def incremental_conversion(spark, sf_dir):
+    """Three runs over a folder: half of the files, the rest and some that changed, and nothing new. Every job of the ledger."""
+    files, ledger = shared_folder(spark, "arriving"), shared_folder(spark, "ledger")
+    for _ in arrivals(spark, sf_dir, files):
+        L.convert_new(spark, files, ledger)
+    L.convert_new(spark, files, ledger)
+    return L.stored_jobs(spark, ledger).drop("source_path")
+
+
+@query
+def current_jobs(spark, sf_dir):
+    """The same folder; each file's last version."""
+    files, ledger = shared_folder(spark, "arriving"), shared_folder(spark, "ledger")
+    for _ in arrivals(spark, sf_dir, files):
+        L.convert_new(spark, files, ledger)
+    return L.current_jobs(spark, ledger).drop("source_path")
+
+
+@query
+def stream_conversion(spark, sf_dir):
+    """Files that arrive between two starts of a stream, each converted once; new names only, as a file stream knows files by name."""
+    files, ledger = shared_folder(spark, "arriving"), shared_folder(spark, "ledger")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("page"), "page_id", F.when(F.col("page_id") % 4 < 2, ".html").otherwise(".docx")).alias("name"), "html")
+    for half in (0, 1):
+        export_files(pages.where(F.col("page_id") % 2 == half), files, "name", "html")
+        L.stream_new(spark, files, ledger).start().awaitTermination()
+    return L.stored_jobs(spark, ledger).drop("source_path", "run")
+
+
 @query
 def failed_jobs(spark, sf_dir):
     return S.failed_jobs(ledger_of(spark, sf_dir))

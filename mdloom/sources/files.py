@@ -28,11 +28,20 @@ def any_case(extensions: tuple[str, ...]) -> str:
     return "{" + ",".join(f"*{ext}" for ext in letters) + "}"
 
 
+def document_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = DOCUMENT_EXTENSIONS, stream: bool = False, per_batch: int | None = None) -> DataFrame:
+    """path, original_filename, ext, modified, length, content of the files that can be converted, as a table or as a stream of
+    those that arrive; the suffix counts in any case."""
+    reader = (spark.readStream if stream else spark.read).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions))
+    if stream:
+        reader = reader.schema("path string, modificationTime timestamp, length long, content binary")
+        reader = reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader
+    named = reader.load(folder).withColumn("original_filename", base_name("path")).withColumn("ext", F.lower(extension("original_filename")))
+    return named.where(F.col("ext").isin(*extensions)).select("path", "original_filename", "ext", F.col("modificationTime").alias("modified"), "length", "content")
+
+
 def scan_documents(spark: SparkSession, folder: str, extensions: tuple[str, ...] = DOCUMENT_EXTENSIONS) -> DataFrame:
-    """path, original_filename, ext, length, content of the files that can be converted; the suffix counts in any case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(extensions)).load(folder)
-    named = files.withColumn("original_filename", base_name("path")).withColumn("ext", F.lower(extension("original_filename")))
-    return named.where(F.col("ext").isin(*extensions)).select("path", "original_filename", "ext", "length", "content")
+    """path, original_filename, ext, length, content of the files that can be converted."""
+    return document_files(spark, folder, extensions).drop("modified")
 
 
 def scan_markdown(spark: SparkSession, folder: str, extensions: tuple[str, ...] = MARKDOWN_EXTENSIONS) -> DataFrame:
@@ -42,30 +51,11 @@ def scan_markdown(spark: SparkSession, folder: str, extensions: tuple[str, ...]
     return named.where(F.lower(extension("file_name")).isin(*extensions))
 
 
-def export_files(df: DataFrame, folder: str, name_col: str, content_col: str) -> int:
-    """Write each row as a file of its own (UTF-8); returns how many. The folder must be one that executors share."""
-
-    def write(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        place, root = fs.FileSystem.from_uri(folder)
-        place.create_dir(root, recursive=True)
-        n = 0
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with place.open_output_stream(f"{root}/{name}") as f:
-                    f.write((content or "").encode())
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return df.select(name_col, content_col).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
-
-
 def job_ledger(files: DataFrame) -> DataFrame:
     """A job per file. Its id is a hash of name and content, so a second run makes the same ones."""
     job = F.sha2(F.concat(F.col("original_filename").cast("binary"), F.lit("\n").cast("binary"), F.col("content")), 256)
-    return files.select(job.alias("job_id"), F.col("path").alias("source_path"), "original_filename", "ext", "content")
+    more = [c for c in ("modified", "length") if c in files.columns]
+    return files.select(job.alias("job_id"), F.col("path").alias("source_path"), "original_filename", "ext", *more, "content")
 
 
 def pages_to_markdown(pages: DataFrame) -> DataFrame:
@@ -78,8 +68,12 @@ def convert_documents(files: DataFrame, converters: dict[str, Callable[[bytes],
     A converter runs in Arrow batches, which HTML doesn't enter; what it raises becomes the row's error, and other rows go on.
     HTML that isn't UTF-8 and kinds without a converter fail with a message.
     """
+    return convert_jobs(job_ledger(files), converters)
+
+
+def convert_jobs(jobs: DataFrame, converters: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """The same for jobs with their contents (job_ledger)."""
     converters = converters or {}
-    jobs = job_ledger(files)
     is_html = F.col("ext") == ".html"
     html = F.try_validate_utf8(F.col("content").cast("string"))
     missing = F.concat(F.lit("no converter for "), "ext")
@@ -90,9 +84,10 @@ def convert_documents(files: DataFrame, converters: dict[str, Callable[[bytes],
         other, why = F.lit(None).cast("string"), missing
     raw = F.when(is_html, html_to_markdown(html)).otherwise(other)
     error = F.when(is_html, F.when(html.isNull(), "not UTF-8")).otherwise(why)
-    done = jobs.select("job_id", "source_path", "original_filename", "ext", raw.alias("raw"), error.alias("error"))
+    more = [c for c in ("modified", "length", "known") if c in jobs.columns]
+    done = jobs.select("job_id", "source_path", "original_filename", "ext", raw.alias("raw"), error.alias("error"), *more)
     status = F.when(F.col("error").isNull(), "done").otherwise("failed")
-    return done.select("job_id", "source_path", "original_filename", "ext", status.alias("status"), "error", clean_markdown("raw").alias("markdown"))
+    return done.select("job_id", "source_path", "original_filename", "ext", status.alias("status"), "error", clean_markdown("raw").alias("markdown"), *more)
 
 
 def converted_by(converters: dict[str, Callable[[bytes], str]]):

@@ -6,6 +6,7 @@ what belongs to a row, a column or a table is set beside each row or cell by a w
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -229,11 +230,62 @@ def table_to_markdown(df: DataFrame, keys: list[str], columns: list[str], order:
     return grouped.select(*keys, rebuild(F.concat(F.array(head, rule), body)).alias("markdown"))
 
 
+def words_of(text):
+    """The words of a text, marks of Markdown left out: bold marks, colons and pipes part words, and dashes alone are none."""
+    return F.filter(F.split(text, r"[\s*:|]+"), lambda w: ~w.rlike(r"\A-*\z"))
+
+
+def expected_words(docs: DataFrame) -> DataFrame:
+    """doc_id, word, once for each time that cleaning must leave it: words of prose, of the cells of tables that stay tables, and of
+    the fields, each with its column's name, of tables that become lists. Not among them: sub-header rows and headers of the latter."""
+    lines = md_lines(docs)
+    cells = flagged_cells(md_rows(lines))
+    whole = W.partitionBy(*TABLE)
+    wide = (F.max("col_no").over(whole) >= MAX_COLS) | (F.max(F.length("cell")).over(whole) > MAX_CELL)
+    becomes_list = F.bool_or("is_sep").over(whole) & F.coalesce(wide, F.lit(False)) & F.bool_or("is_record").over(whole)
+    beside = cells.withColumn("field_name", name_of_column().over(by_column())).withColumn("becomes_list", becomes_list).where("col_no is not null and not is_sep")
+    of_field = F.when(F.col("is_record") & ~F.col("is_blank"), F.concat(words_of(F.coalesce("field_name", F.lit(""))), words_of(F.col("cell"))))
+    of_tables = beside.select("doc_id", F.explode(F.when(F.col("becomes_list"), of_field).otherwise(words_of(F.col("cell")))).alias("word"))
+    return lines.where("table_no is null").select("doc_id", F.explode(words_of(F.col("line"))).alias("word")).unionByName(of_tables)
+
+
 def lost_content(raw: DataFrame, clean: DataFrame) -> DataFrame:
-    """Words of data cells that a cleaned document no longer holds: doc_id, word. Expected to be empty but for words of
-    sub-header rows and of headers without values in tables that became lists."""
-    words = F.explode(F.split(bold0("cell"), r"[\s*:|]+"))
-    cells = flagged_cells(md_rows(md_lines(raw))).where("data_row_no >= 1 and not is_blank and not is_sub")
-    before = cells.select("doc_id", words.alias("word")).where("word <> ''").distinct()
-    after = clean.select("doc_id", F.explode(F.split("content", r"[\s*:|]+")).alias("word")).distinct()
-    return before.join(after, ["doc_id", "word"], "left_anti")
+    """Words that a cleaned document holds fewer times than it must: doc_id, word, n (how many are lost). No row is the rule."""
+    after = clean.select("doc_id", F.explode(words_of(F.col("content"))).alias("word"), F.lit(-1).alias("n"))
+    both = expected_words(raw).withColumn("n", F.lit(1)).unionByName(after)
+    return both.groupBy("doc_id", "word").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def line_changes(docs: DataFrame, before: str = "content", after: str = "content_clean") -> DataFrame:
+    """Per document, how its lines went from one text to the other, by a longest common subsequence: n_kept, n_removed, n_added, and
+    same_until, the number of lines up to the first that differs. A null text has no lines.
+
+    The length comes from a row of bits per line of the first text, added and masked as one number; a worker holds one pair of texts.
+    """
+
+    @F.pandas_udf("kept long, same long")
+    def common(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([common_lines(x, y) for x, y in zip(a, b, strict=True)], columns=["kept", "same"])
+
+    left, right = (F.when(F.col(c).isNull(), 0).otherwise(F.size(split_lines(c))).cast("long") for c in (before, after))
+    beside = docs.select("doc_id", left.alias("n_before"), right.alias("n_after"), common(before, after).alias("c"))
+    return beside.select("doc_id", F.col("c.kept").alias("n_kept"), (F.col("n_before") - F.col("c.kept")).alias("n_removed"), (F.col("n_after") - F.col("c.kept")).alias("n_added"), F.col("c.same").alias("same_until"))
+
+
+def common_lines(a: str | None, b: str | None) -> tuple[int, int]:
+    """(length of a longest common subsequence of lines, length of the common beginning)."""
+    if a is None or b is None:
+        return 0, 0
+    x, y = a.split("\n"), b.split("\n")
+    short = min(len(x), len(y))
+    same = next((i for i in range(short) if x[i] != y[i]), short)
+    tail = next((i for i in range(short - same) if x[-1 - i] != y[-1 - i]), short - same)
+    x, y = x[same : len(x) - tail], y[same : len(y) - tail]
+    places: dict[str, int] = {}
+    for i, line in enumerate(x):
+        places[line] = places.get(line, 0) | 1 << i
+    row = every = (1 << len(x)) - 1  # a zero bit where the subsequence grows by this line
+    for line in y:
+        hit = row & places.get(line, 0)
+        row = (row + hit | row - hit) & every
+    return same + tail + len(x) - row.bit_count(), same

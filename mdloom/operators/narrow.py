@@ -101,25 +101,32 @@ def structured_list(data: Column) -> Column:
     return F.when(F.size(data) == 0, "").otherwise(bound(F.transform(F.slice(data, 2, MAX_SUBHEADERS), is_all_bold), with_subheaders))
 
 
+def outcome(text: Column, action: Column | str | None = None) -> Column:
+    """What became of a block: its text, and what was done to it (null if nothing)."""
+    return F.struct(text.alias("text"), (F.lit(action) if action is None or isinstance(action, str) else action).cast("string").alias("action"))
+
+
 def clean_block(lines: Column, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:
-    """One run of table lines, as text, by the routes R1 to R5."""
+    """One run of table lines by the routes R1 to R5: a struct of its text and the action (list, fallback, removed n, or null)."""
     as_is = F.array_join(lines, "\n")
 
     def route(rows: Column) -> Column:
         def simple(mask: Column) -> Column:
-            return F.when(F.exists(mask, lambda m: m), rebuild(without_columns(rows, mask))).otherwise(as_is)
+            n = F.size(F.filter(mask, lambda m: m))
+            return F.when(n > 0, outcome(rebuild(without_columns(rows, mask)), F.concat(F.lit("removed "), n.cast("string")))).otherwise(outcome(as_is))
 
         def valid(data: Column) -> Column:
-            listed = bound(structured_list(data), lambda s: F.when(s != "", s).otherwise(as_is))
+            listed = bound(structured_list(data), lambda s: F.when(s != "", outcome(s, "list")).otherwise(outcome(as_is, "fallback")))
             return F.when(is_complex(data, max_cols, max_cell), listed).otherwise(bound(empty_mask(data), simple))
 
-        return F.when(~F.exists(rows, lambda r: r["is_sep"]), as_is).otherwise(bound(data_of(rows), valid))
+        return F.when(~F.exists(rows, lambda r: r["is_sep"]), outcome(as_is)).otherwise(bound(data_of(rows), valid))
 
     return bound(parse_rows(lines), route)
 
 
-def clean_tables(content: Column | str, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:
-    """Every run of table lines replaced by its cleaned text; documents without a table line pass by."""
+def cleaned_parts(content: Column | str, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:
+    """The runs of a text (table lines, or others) in order, as structs (first_line from 1, text, action); documents without a table
+    line pass by as one."""
 
     def by_runs(lines: Column) -> Column:
         def cut(flags: Column) -> Column:
@@ -127,8 +134,9 @@ def clean_tables(content: Column | str, max_cols: int = MAX_COLS, max_cell: int
 
             def runs(starts: Column) -> Column:
                 end = lambda i: F.coalesce(F.get(starts, i + 1), F.size(lines))
-                part = lambda s, i: bound(F.slice(lines, s + 1, end(i) - s), lambda x: F.when(F.get(flags, s), clean_block(x, max_cols, max_cell)).otherwise(F.array_join(x, "\n")))
-                return F.array_join(F.transform(starts, part), "\n")
+                made = lambda s, x: F.when(F.get(flags, s), clean_block(x, max_cols, max_cell)).otherwise(outcome(F.array_join(x, "\n")))
+                part = lambda s, i: bound(bound(F.slice(lines, s + 1, end(i) - s), lambda x: made(s, x)), lambda m: F.struct((s + 1).alias("first_line"), m["text"].alias("text"), m["action"].alias("action")))
+                return F.transform(starts, part)
 
             return bound(at, runs)
 
@@ -136,10 +144,37 @@ def clean_tables(content: Column | str, max_cols: int = MAX_COLS, max_cell: int
 
     def whole(x: Column) -> Column:  # bound, so that what content is made of is worked out once
         has_table = F.contains(x, F.lit("|")) & F.exists(split_lines(x), is_table_line)
-        return F.when(has_table, bound(split_lines(x), by_runs)).otherwise(x)
+        alone = F.array(F.struct(F.lit(1).alias("first_line"), x.alias("text"), F.lit(None).cast("string").alias("action")))
+        return F.when(has_table, bound(split_lines(x), by_runs)).when(x.isNotNull(), alone)
 
     return bound(col(content), whole)
 
 
+def joined(parts: Column) -> Column:
+    return F.array_join(F.transform(parts, lambda p: p["text"]), "\n")
+
+
+def clean_tables(content: Column | str, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:
+    """Every run of table lines replaced by its cleaned text."""
+    return joined(cleaned_parts(content, max_cols, max_cell))
+
+
 def clean_markdown(content: Column | str, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:
     return cleanup_whitespace(clean_tables(normalize_endings(content), max_cols, max_cell))
+
+
+def clean_with_audit(content: Column | str, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:
+    """The cleaned text and what was done on the way, from one pass: struct (content_clean, audit), audit being an array of (first_line,
+    action) of the tables that changed or fell back, by their place in the raw text."""
+
+    def both(parts: Column) -> Column:
+        done = F.transform(F.filter(parts, lambda p: p["action"].isNotNull()), lambda p: F.struct(p["first_line"].alias("first_line"), p["action"].alias("action")))
+        return F.struct(cleanup_whitespace(joined(parts)).alias("content_clean"), done.alias("audit"))
+
+    return bound(cleaned_parts(normalize_endings(content), max_cols, max_cell), both)
+
+
+def audit_metrics(audit: Column | str) -> list[Column]:
+    """Aggregates of an audit column for DataFrame.observe: documents and tables by action, counted while the rows are written."""
+    of = lambda a: F.coalesce(F.sum(F.size(F.filter(col(audit), lambda x: x["action"].startswith(a)))), F.lit(0))
+    return [F.count("*").alias("documents"), *(of(a).alias(a) for a in ("list", "fallback", "removed"))]

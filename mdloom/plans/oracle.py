@@ -7,6 +7,7 @@ from mdloom.plans.reports import lines_of_orders, reports_sql, roughened_sql
 
 _WS = "concat(" + ", ".join(f"chr({ord(c)})" for c in WS) + ")"
 _CLASS = "".join(f"\\x{{{ord(c):X}}}" for c in WS)
+_WORDS = r"'[\s*:|]+'"
 _MARKER = r"'^(?:[-+]|\p{Nd}+\.)'"
 
 
@@ -127,11 +128,23 @@ _ARRIVALS = f"""WITH v AS (SELECT page_id, concat('page', page_id, CASE WHEN pag
 m AS (SELECT *, {_html('html')} AS raw FROM v),
 j AS (SELECT page_id, sha256(concat(original_filename, chr(10), html)) AS job_id, original_filename, ext, CASE WHEN ext = '.html' THEN 'done' ELSE 'failed' END AS status,
   CASE WHEN ext <> '.html' THEN 'no converter for .docx' END AS error, CASE WHEN ext = '.html' THEN {whitespace(endings('raw'))} END AS markdown, CAST(run AS BIGINT) AS run FROM m)"""
+#: Words that must be left, counted, less those that are.
+_LOST = f"""must AS (SELECT doc_id, unnest(regexp_split_to_array(line, {_WORDS})) AS word FROM md_lines WHERE table_no IS NULL
+  UNION ALL SELECT c.doc_id, unnest(regexp_split_to_array(cell, {_WORDS})) FROM c JOIN table_stats t ON c.doc_id = t.doc_id AND c.table_no = t.table_no WHERE route <> 'R2' AND NOT is_sep
+  UNION ALL SELECT doc_id, unnest(list_concat(regexp_split_to_array(coalesce(field_name, ''), {_WORDS}), regexp_split_to_array(value, {_WORDS}))) FROM fields SEMI JOIN (SELECT * FROM table_stats WHERE route = 'R2') t ON fields.doc_id = t.doc_id AND fields.table_no = t.table_no),
+left_ AS (SELECT doc_id, unnest(regexp_split_to_array({{after}}, {_WORDS})) AS word FROM cleaned),
+lost AS (SELECT doc_id, word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT doc_id, word, 1 AS n FROM must UNION ALL SELECT doc_id, word, -1 FROM left_) WHERE NOT regexp_full_match(word, '-*') GROUP BY 1, 2 HAVING sum(n) > 0)"""
+_CUT = "CASE WHEN doc_id % 5 = 0 THEN regexp_replace(content_clean, '\\n[^\\n]*$', '') ELSE content_clean END"
 _STAGE = "['uploading', 'extracting', 'generating', 'formatting', 'complete', 'error', 'idle'][event_id % 7 + 1]"
-_WORDS = r"'[\s*:|]+'"
 _ROUGH = f"WITH r AS ({roughened_sql()})"
 
 
+#: Bursts that end before the last event's time less what may come late.
+_BURSTS = """WITH e AS (SELECT user_id, ts, CAST(event_id AS VARCHAR) AS c, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, c) AS n FROM e)
+    SELECT user_id AS key, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS saved, last(c ORDER BY ts, c) AS content FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 7 HOUR <= (SELECT max(ts) FROM events)"""
+
+
 ORACLES = {
     "scan_documents": f"{_FILES} SELECT original_filename, ext, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS content_sha FROM j",
     "scan_markdown": "SELECT concat(conv_id, '.md') AS file_name, CAST(length(t) AS INT) AS n_chars, sha256(t) AS content_sha FROM (SELECT conv_id, string_agg(text, concat(chr(10), chr(10)) ORDER BY turn, text) AS t FROM conversations GROUP BY 1)",
@@ -176,9 +189,16 @@ ORACLES = {
     "clean_markdown": f"{_BASE} SELECT * FROM cleaned",
     "clean_documents": f"{_ROUGH} SELECT doc_id, {whitespace(endings('content'))} AS content_clean FROM r",
     "raw_vs_clean": f"{_BASE} SELECT doc_id, content, content_clean FROM docs JOIN cleaned USING (doc_id)",
-    "lost_content": f"""{_BASE}, b AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array({bold0('cell')}, {_WORDS})) AS word FROM c WHERE data_row_no >= 1 AND NOT is_blank
-        AND (doc_id, table_no, row_no) NOT IN (SELECT doc_id, table_no, row_no FROM subs)), a AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(content_clean, {_WORDS})) AS word FROM cleaned)
-        SELECT doc_id, word FROM b ANTI JOIN a USING (doc_id, word) WHERE word <> ''""",
+    "lost_content": f"{_BASE}, {_LOST.format(after='content_clean')} SELECT * FROM lost",
+    "planted_losses": f"{_BASE}, {_LOST.format(after=_CUT)} SELECT * FROM lost",
+    "line_changes": f"""{_BASE}, t AS (SELECT doc_id, string_split(content, chr(10)) AS a, string_split(content_clean, chr(10)) AS b FROM docs JOIN cleaned USING (doc_id)),
+        l AS (SELECT doc_id, a, b, list_reduce(list_concat([list_transform(b, lambda x: 0)], list_transform(range(1, len(a) + 1), lambda i: [i])), lambda old, i:
+          list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda m: greatest(old[m], CASE WHEN b[m] = a[i[1]] THEN 1 + CASE WHEN m > 1 THEN old[m - 1] ELSE 0 END ELSE 0 END)))))[-1] AS kept FROM t)
+        SELECT doc_id, CAST(kept AS BIGINT) AS n_kept, len(a) - kept AS n_removed, len(b) - kept AS n_added,
+          CAST(coalesce(list_min(list_filter(range(least(len(a), len(b))), lambda i: a[i + 1] <> b[i + 1])), least(len(a), len(b))) AS BIGINT) AS same_until FROM l""",
+    "clean_with_audit": f"""{_BASE}, a AS (SELECT doc_id, string_agg(concat(first_line, ' ', CASE route WHEN 'R2' THEN 'list' WHEN 'R3' THEN 'fallback' ELSE concat('removed ', n_empty_cols) END), ', ' ORDER BY first_line) AS audit
+        FROM table_stats WHERE route IN ('R2', 'R3', 'R4') GROUP BY 1) SELECT doc_id, content_clean, coalesce(audit, '') AS audit FROM cleaned LEFT JOIN a USING (doc_id)""",
+    "stored_results": f"{_FILES} SELECT status = 'done' AS success, job_id, original_filename, markdown FROM j WHERE job_id IN ((SELECT min(job_id) FROM j), (SELECT max(job_id) FROM j))",
     "table_audit": f"{_BASE} SELECT doc_id, first_line, CASE route WHEN 'R2' THEN 'list' WHEN 'R3' THEN 'fallback' ELSE concat('removed ', n_empty_cols) END AS action FROM table_stats WHERE route IN ('R2', 'R3', 'R4')",
     "route_counts": f"{_BASE} SELECT route, count(*) AS n FROM table_stats GROUP BY 1",
     "normalize_endings": f"{_ROUGH} SELECT doc_id, {endings('content')} AS content FROM r",
@@ -194,6 +214,9 @@ ORACLES = {
     "debounced_latest": """WITH e AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e)
         SELECT user_id AS key, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS saved, last(event_id ORDER BY ts, event_id) AS content FROM s GROUP BY user_id, n""",
+    "debounced_append": _BURSTS,
+    "debounced_by_timer": _BURSTS,
+    "progress_until_done": f"SELECT user_id AS job, last({_STAGE} ORDER BY ts, {_STAGE}) AS stage, max(ts) AS ts FROM events GROUP BY 1",
     "job_progress": f"SELECT user_id AS job, last({_STAGE} ORDER BY ts, {_STAGE}) AS stage, max(ts) AS ts FROM events GROUP BY 1",
     "stage_counts": f"SELECT time_bucket(INTERVAL 1 DAY, ts) AS started, {_STAGE} AS stage, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from mdloom.sources import files as S
 from mdloom.sources import ledger as L
 from mdloom.sources.sink import export_files
 from mdloom.streaming import streams as Z
+from mdloom.streaming import timers as T
 
 QUERIES = {}
 
@@ -128,6 +131,14 @@ def lookup_jobs(spark, sf_dir):
     return S.lookup_jobs(ledger, wanted.unionByName(pages.select(F.concat(F.lit("none"), "page_id").alias("job_id"))))
 
 
+@query
+def stored_results(spark, sf_dir):
+    """A stored ledger asked for its first and last job and for one that it doesn't hold."""
+    stored = S.write_ledger(ledger_of(spark, sf_dir), shared_folder(spark, "ledger"))
+    ends = stored.agg(F.min("job_id").alias("a"), F.max("job_id").alias("b")).first()
+    return S.stored_results(stored, [*(x for x in ends if x), "none"])
+
+
 @query
 def pages_to_markdown(spark, sf_dir):
     return S.pages_to_markdown(table(spark, sf_dir, "pages"))
@@ -278,6 +289,27 @@ def lost_content(spark, sf_dir):
     return E.lost_content(docs, docs.select("doc_id", N.clean_markdown("content").alias("content")))
 
 
+@query
+def planted_losses(spark, sf_dir):
+    """What is found missing when every fifth document loses its last line."""
+    docs = reports(spark, sf_dir)
+    whole = N.clean_markdown("content")
+    cut = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(whole, r"\n[^\n]*\z", "")).otherwise(whole)
+    return E.lost_content(docs, docs.select("doc_id", cut.alias("content")))
+
+
+@query
+def line_changes(spark, sf_dir):
+    return E.line_changes(reports(spark, sf_dir).select("doc_id", "content", N.clean_markdown("content").alias("content_clean")))
+
+
+@query
+def clean_with_audit(spark, sf_dir):
+    """Cleaned texts and their audit from one scan."""
+    both = reports(spark, sf_dir).select("doc_id", N.clean_with_audit("content").alias("c"))
+    return both.select("doc_id", "c.content_clean", F.array_join(F.transform("c.audit", lambda a: F.concat_ws(" ", a["first_line"], a["action"])), ", ").alias("audit"))
+
+
 @query
 def table_audit(spark, sf_dir):
     action = F.when(F.col("route") == "R2", "list").when(F.col("route") == "R3", "fallback").otherwise(F.concat(F.lit("removed "), "n_empty_cols"))
@@ -365,3 +397,44 @@ def job_progress(spark, sf_dir):
 def stage_counts(spark, sf_dir):
     stages = Z.read_stream(spark, sf_dir, "events").selectExpr("cast(ts as timestamp) as ts", f"{STAGE_OF} as stage")
     return Z.run_complete(Z.stage_counts(stages), shared_folder(spark, "stages")).selectExpr("cast(started as timestamp_ntz) as started", "stage", "n")
+
+
+def slices_of_events(spark: SparkSession, sf_dir: str, folder: str, n: int = 2):
+    """The events put into a folder in n goes, in the order of time; yields after each."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    span = events.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    for i in range(n):
+        low, high = ((span.a or 0) + ((span.b or 0) - (span.a or 0) + 1) * k // n for k in (i, i + 1))
+        events.where((F.col("at") >= low) & (F.col("at") < high)).drop("at").write.mode("append").parquet(f"{folder}/events.parquet")
+        yield
+
+
+def closed_bursts(spark, sf_dir, debounced):
+    """Bursts that the watermark has passed, over two starts of one stream in append mode."""
+    source, out = shared_folder(spark, "slices"), shared_folder(spark, "bursts")
+    with T.with_state_store(spark):
+        for _ in slices_of_events(spark, sf_dir, source):
+            edits = Z.read_stream(spark, source, "events").selectExpr("user_id as key", "cast(ts as timestamp) as ts", "cast(event_id as string) as content")
+            done = Z.run_append(debounced(edits), out)
+    return done.selectExpr("key", "cast(started as timestamp_ntz) as started", "cast(saved as timestamp_ntz) as saved", "content")
+
+
+@query
+def debounced_append(spark, sf_dir):
+    return closed_bursts(spark, sf_dir, lambda edits: Z.debounced_latest(edits, "6 hours", "1 hour"))
+
+
+@query
+def debounced_by_timer(spark, sf_dir):
+    return closed_bursts(spark, sf_dir, lambda edits: T.debounced_by_timer(edits, timedelta(hours=6), "1 hour"))
+
+
+@query
+def progress_until_done(spark, sf_dir):
+    """The last news of each job, from state that forgets jobs when they end."""
+    source, out = shared_folder(spark, "slices"), shared_folder(spark, "progress")
+    with T.with_state_store(spark):
+        for _ in slices_of_events(spark, sf_dir, source):
+            stages = Z.read_stream(spark, source, "events").selectExpr("user_id as job", "cast(ts as timestamp) as ts", f"{STAGE_OF} as stage")
+            done = Z.run_update(T.progress_until_done(stages), out, ["job"])
+    return done.selectExpr("job", "stage", "cast(ts as timestamp_ntz) as ts")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +18,8 @@ from mdloom.operators.narrow import clean_markdown
 #: What can be converted, and what can be opened as Markdown.
 DOCUMENT_EXTENSIONS = (".pdf", ".docx", ".doc", ".pptx", ".html")
 MARKDOWN_EXTENSIONS = (".md", ".markdown", ".txt")
+#: Seconds that one file may take a converter.
+TIME_LIMIT = 300.0
 LEDGER = "job_id string, source_path string, original_filename string, ext string, status string, error string, markdown string"
 
 
@@ -62,23 +67,23 @@ def pages_to_markdown(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", clean_markdown(html_to_markdown("html")).alias("markdown"))
 
 
-def convert_documents(files: DataFrame, converters: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+def convert_documents(files: DataFrame, converters: dict[str, Callable[[bytes], str]] | None = None, seconds: float = TIME_LIMIT) -> DataFrame:
     """The ledger of all files, converted and cleaned in one scan: HTML by expressions, other kinds by a converter of the user's own.
 
     A converter runs in Arrow batches, which HTML doesn't enter; what it raises becomes the row's error, and other rows go on.
     HTML that isn't UTF-8 and kinds without a converter fail with a message.
     """
-    return convert_jobs(job_ledger(files), converters)
+    return convert_jobs(job_ledger(files), converters, seconds)
 
 
-def convert_jobs(jobs: DataFrame, converters: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+def convert_jobs(jobs: DataFrame, converters: dict[str, Callable[[bytes], str]] | None = None, seconds: float = TIME_LIMIT) -> DataFrame:
     """The same for jobs with their contents (job_ledger)."""
     converters = converters or {}
     is_html = F.col("ext") == ".html"
     html = F.try_validate_utf8(F.col("content").cast("string"))
     missing = F.concat(F.lit("no converter for "), "ext")
     if converters:
-        jobs = jobs.withColumn("own", converted_by(converters)(F.when(~is_html, F.col("content")), F.when(~is_html, F.col("ext"))))
+        jobs = jobs.withColumn("own", converted_by(converters, seconds)(F.when(~is_html, F.col("content")), F.when(~is_html, F.col("ext"))))
         other, why = F.col("own.raw"), F.coalesce("own.error", F.when(~F.col("ext").isin(*converters), missing))
     else:
         other, why = F.lit(None).cast("string"), missing
@@ -90,8 +95,30 @@ def convert_jobs(jobs: DataFrame, converters: dict[str, Callable[[bytes], str]]
     return done.select("job_id", "source_path", "original_filename", "ext", status.alias("status"), "error", clean_markdown("raw").alias("markdown"), *more)
 
 
-def converted_by(converters: dict[str, Callable[[bytes], str]]):
-    """(content, ext) to a struct (raw, error); both null where there is no content or no converter."""
+@contextmanager
+def time_limit(seconds: float):
+    """Raises TimeoutError in what runs within once the time is up, by a signal to this worker's main thread: at the next Python step,
+    so a call into other code that never comes back isn't stopped. Where signals can't be used, there is no limit."""
+
+    def stop(signum, frame):
+        raise TimeoutError(f"no result within {seconds:g} s")
+
+    if not hasattr(signal, "setitimer") or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def converted_by(converters: dict[str, Callable[[bytes], str]], seconds: float = TIME_LIMIT):
+    """(content, ext) to a struct (raw, error); both null where there is no content or no converter. A file that takes a converter
+    longer than the time limit fails with a message, and others go on."""
+
     @F.pandas_udf("raw string, error string")
     def run(content: pd.Series, ext: pd.Series) -> pd.DataFrame:
         raw, errors = [], []
@@ -99,7 +126,8 @@ def converted_by(converters: dict[str, Callable[[bytes], str]]):
             text = error = None
             if kind in converters and data is not None:
                 try:
-                    text = converters[kind](bytes(data))
+                    with time_limit(seconds):
+                        text = converters[kind](bytes(data))
                 except Exception as e:  # one file's failure is that file's result
                     error = str(e) or type(e).__name__
             raw.append(text)

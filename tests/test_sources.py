@@ -49,6 +49,19 @@ def test_a_bad_file_fails_alone(spark, folder):
     assert got["a.docx"].markdown == "2 bytes\n"
 
 
+def test_a_converter_that_hangs_fails_alone(spark, folder):
+    def slow(data: bytes) -> str:
+        import time
+
+        while data == b"boom":
+            time.sleep(0.05)
+        return "done"
+
+    ledger = S.convert_documents(S.scan_documents(spark, folder), {".pdf": slow, ".docx": slow}, seconds=1)
+    got = {r.original_filename: (r.error, r.markdown) for r in ledger.collect()}
+    assert got["b.pdf"] == ("no result within 1 s", None) and got["a.docx"] == (None, "done") and got["good.html"] == (None, "café")
+
+
 def plan_of(df) -> str:
     out = io.StringIO()
     with redirect_stdout(out):

@@ -153,8 +153,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, gram: int = 22, carry: tup
     length is at most 255. Columns of docs other than id, text and carry aren't read, so they may have any name; carry a
     struct where a name is one of the result's. Anchors are found block by block, but a very long text is cut in one task.
 
-    What moves: about 16 bytes for every 15 bytes of text that has no equal in its task, and the texts once; groups are dealt by hashes
-    of content, so copies of one passage spread over as many buckets as it has anchors, each task sends one of equal
+    What moves: about 16 bytes for every 15 bytes of text that has no equal in its task, and the texts twice, beside the anchors whose
+    groups are still open and beside the spans that are cut; groups are dealt by hashes of content, so copies of one passage spread over as many buckets as it has anchors, each task sends one of equal
     anchors, and a run of one byte or of a short pattern is one anchor.
     """
     spark = docs.sparkSession

@@ -177,6 +177,7 @@ def test_packing(docs, encoded):
             at += length
         assert at <= 1024
     assert sorted(sequences) == list(range(len(sequences)))
+    assert len(sequences) * 1024 <= 1.02 * sum(len(x) + 1 for x in encoded.values()) + 1024  # padding
 
 
 def test_pack_histogram_places_every_rank_once():
@@ -532,12 +533,30 @@ def test_rules_over_the_whole_table(spark):
 
 
 def test_url_trees_find_what_the_rules_would_block(spark):
+    """Rules label the paths of .net hosts; the trees must tell the same paths apart on .org hosts, which no rule fits."""
     rng = random.Random(12)
-    pages = [(i, f"http://h{rng.randrange(40)}.net/{rng.choice(['es', 'fr', 'de', 'it'])}/{rng.randrange(10**6)}") for i in range(1500)] + [(2000 + i, f"http://x{rng.randrange(99)}.com/{rng.choice(['es', 'de'])}/{i}") for i in range(300)]
-    pages += [(5000 + i, f"http://z{i}.org/p/{i}") for i in range(20)]
-    out = {r.page_id: r for r in url_verdicts(spark.createDataFrame(pages, "page_id long, url string")).collect()}
-    left = [r for i, r in out.items() if r.rule is None]
-    assert left and all(0 <= r.score <= 1 and (r.verdict == "block") == (r.score > 0.5) for r in left)
+    rules = (("net", "/es/", "block"), ("net", "/fr/", "block"), ("net", "/de/", "allow"), ("net", "/it/", "allow"))
+    urls = [f"http://h{rng.randrange(40)}.{top}/{rng.choice(['es', 'fr', 'de', 'it'])}/{rng.randrange(10**6)}" for top in ["net"] * 1200 + ["org"] * 600]
+    out = {r.page_id: r for r in url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    assert all((r.rule is not None) == (".net/" in urls[i]) and (r.score is None) == (r.rule is not None) for i, r in out.items())
+    held = [(r.verdict == "block", urls[i].split("/")[3] in ("es", "fr")) for i, r in out.items() if r.rule is None]
+    right = sum(a and b for a, b in held)
+    assert right >= 0.9 * sum(a for a, _ in held) and right >= 0.9 * sum(b for _, b in held) and right > 200
+    assert all((r.verdict == "block") == (r.score > 0.5) for r in out.values() if r.rule is None)
+
+
+def test_lexical_features():
+    """length, slashes of the path, share of digits, entropy, parameters, fragment, host: length, dots, dashes; https, path: length, first part's length and first letters."""
+    from mdloom.llm.url_filter import lexical
+
+    want = {
+        ("https://a-b.example.com/en/x1?q=1&r=&#top", "a-b.example.com", "/en/x1"): [41, 2, 2 / 41, None, 2, 1, 15, 2, 1, 1, 6, 2, ord("e") + ord("n")],
+        ("abab", "", ""): [4, 0, 0, 1.0, 0, 0, 0, 0, 0, 0, 0, 0, 0],
+        ("", "", ""): [0, 0, 0, 0.0, 0, 0, 0, 0, 0, 0, 0, 0, 0],
+        ("http://h/0", "h", "/0"): [10, 1, 0.1, None, 0, 0, 1, 0, 0, 0, 2, 1, ord("0")],
+    }
+    for args, values in want.items():
+        assert all(b is None or abs(a - b) < 1e-12 for a, b in zip(lexical(*args), values, strict=True)), args
 
 
 def test_forward_backward_against_all_labellings():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mdloom.functions.text import (
@@ -178,3 +178,52 @@ def audit_metrics(audit: Column | str) -> list[Column]:
     """Aggregates of an audit column for DataFrame.observe: documents and tables by action, counted while the rows are written."""
     of = lambda a: F.coalesce(F.sum(F.size(F.filter(col(audit), lambda x: x["action"].startswith(a)))), F.lit(0))
     return [F.count("*").alias("documents"), *(of(a).alias(a) for a in ("list", "fallback", "removed"))]
+
+
+def block_facts(lines: Column, first_line: Column, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:
+    """What table_stats tells of one run of table lines, as a struct."""
+
+    def of_rows(rows: Column) -> Column:
+        def of_data(data: Column) -> Column:
+            n = F.size(lines)
+            behind = F.array_position(F.reverse(F.transform(rows, lambda r: r["is_sep"])), True)
+            last_sep = F.when(behind == 0, -1).otherwise(n - behind).cast("int")
+            longest = F.coalesce(F.array_max(F.transform(data, lambda c: F.array_max(F.transform(c, F.length)))), F.lit(0))
+            n_empty = F.size(F.filter(empty_mask(data), lambda m: m)).cast("long")
+            sizes = F.struct(last_sep.alias("last_sep_row"), width_of(data).alias("n_cols"), longest.alias("max_cell_len"), n_empty.alias("n_empty_cols"))
+
+            def told(x: Column) -> Column:
+                wide = (x["n_cols"] > max_cols) | (x["max_cell_len"] > max_cell)
+                listed = F.when(structured_list(data) != "", "R2").otherwise("R3")
+                route = F.when(x["last_sep_row"] < 0, "R1").when(wide, listed).when(x["n_empty_cols"] > 0, "R4").otherwise("R5")
+                own = [x[c].alias(c) for c in ("last_sep_row", "n_cols", "max_cell_len", "n_empty_cols")]
+                return F.struct(first_line.alias("first_line"), (first_line + n - 1).alias("last_line"), n.cast("long").alias("n_lines"), *own, wide.alias("is_complex"), route.alias("route"))
+
+            return bound(sizes, told)
+
+        return bound(data_of(rows), of_data)
+
+    return bound(parse_rows(lines), of_rows)
+
+
+def table_facts(content: Column | str, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> Column:
+    """The facts of a text's table blocks in order (block_facts), as an array; without a shuffle or a sort."""
+
+    def by_lines(lines: Column) -> Column:
+        def by_flags(flags: Column) -> Column:
+            opens = F.filter(F.transform(flags, lambda f, i: F.when(f & ((i == 0) | ~F.coalesce(F.get(flags, i - 1), F.lit(False))), i)), lambda i: i.isNotNull())
+            closes = F.filter(F.transform(flags, lambda f, i: F.when(f & ~F.coalesce(F.get(flags, i + 1), F.lit(False)), i)), lambda i: i.isNotNull())
+
+            def facts(ends: Column) -> Column:
+                return F.transform(opens, lambda a, k: bound(F.slice(lines, a + 1, F.get(ends, k) - a + 1), lambda x: block_facts(x, a + 1, max_cols, max_cell)))
+
+            return bound(closes, facts)
+
+        return bound(F.transform(lines, is_table_line), by_flags)
+
+    return bound(normalize_endings(content), lambda x: F.when(F.contains(x, F.lit("|")), bound(split_lines(x), by_lines)))
+
+
+def table_stats(docs: DataFrame, max_cols: int = MAX_COLS, max_cell: int = MAX_CELL) -> DataFrame:
+    """One row per table block of docs (doc_id, content): doc_id, table_no (from 0), and its facts; the same as the exploded form gives."""
+    return docs.select("doc_id", F.posexplode(table_facts("content", max_cols, max_cell)).alias("table_no", "t")).select("doc_id", "table_no", "t.*")

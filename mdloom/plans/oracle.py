@@ -163,6 +163,7 @@ ORACLES = {
     "table_lines": f"{_BASE} SELECT doc_id, line_no, line FROM md_lines WHERE is_table_line",
     "separator_rows": f"{_BASE} SELECT doc_id, table_no, row_no, line FROM md_rows WHERE is_sep",
     "table_stats": f"{_BASE} SELECT * EXCLUDE (is_complex) FROM table_stats",
+    "table_stats_exploded": f"{_BASE} SELECT * EXCLUDE (is_complex) FROM table_stats",
     "complex_tables": f"{_BASE} SELECT doc_id, table_no, n_cols, max_cell_len FROM table_stats WHERE is_complex",
     "md_lines": f"{_BASE} SELECT * FROM md_lines",
     "table_blocks": f"{_BASE} SELECT doc_id, table_no, min(line_no) AS first_line_no, count(*) AS n_lines FROM md_lines WHERE is_table_line GROUP BY 1, 2",

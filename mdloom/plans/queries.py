@@ -168,12 +168,17 @@ def separator_rows(spark, sf_dir):
 
 @query
 def table_stats(spark, sf_dir):
+    return N.table_stats(reports(spark, sf_dir)).drop("is_complex")
+
+
+@query
+def table_stats_exploded(spark, sf_dir):
     return E.table_stats(rows_of(spark, sf_dir)).drop("is_complex")
 
 
 @query
 def complex_tables(spark, sf_dir):
-    return E.table_stats(rows_of(spark, sf_dir)).where("is_complex").select("doc_id", "table_no", "n_cols", "max_cell_len")
+    return N.table_stats(reports(spark, sf_dir)).where("is_complex").select("doc_id", "table_no", "n_cols", "max_cell_len")
 
 
 @query
@@ -313,12 +318,12 @@ def clean_with_audit(spark, sf_dir):
 @query
 def table_audit(spark, sf_dir):
     action = F.when(F.col("route") == "R2", "list").when(F.col("route") == "R3", "fallback").otherwise(F.concat(F.lit("removed "), "n_empty_cols"))
-    return E.table_stats(rows_of(spark, sf_dir)).where("route in ('R2', 'R3', 'R4')").select("doc_id", "first_line", action.alias("action"))
+    return N.table_stats(reports(spark, sf_dir)).where("route in ('R2', 'R3', 'R4')").select("doc_id", "first_line", action.alias("action"))
 
 
 @query
 def route_counts(spark, sf_dir):
-    return E.table_stats(rows_of(spark, sf_dir)).groupBy("route").agg(F.count("*").alias("n"))
+    return N.table_stats(reports(spark, sf_dir)).groupBy("route").agg(F.count("*").alias("n"))
 
 
 @query

@@ -94,6 +94,17 @@ def test_exploded_form_shuffles_lines_once(spark, tmp_path):
         assert len(re.findall(r"- Exchange \(", plan_of(df).split("\n\n\n")[0])) <= most
 
 
+def test_table_facts_take_no_shuffle_and_equal_the_exploded_form(spark, tmp_path):
+    odd = [(1, None), (2, ""), (3, "|"), (4, "| a |\r\n|-|\r\n| b |\r\nx\n  | c | ** |\n|  |  |\n|--|"), (5, "no pipe"), (6, "x | y"), (7, "| a |\n" * 3 + "\n| b |")]
+    spark.createDataFrame(odd, "doc_id long, content string").unionByName(reports(spark, DATA).selectExpr("doc_id + 100 as doc_id", "content")).write.parquet(f"{tmp_path}/facts")
+    docs = spark.read.parquet(f"{tmp_path}/facts")
+    narrow = N.table_stats(docs)
+    exploded = E.table_stats(E.md_rows(E.md_lines(docs.where("content is not null"))))
+    assert narrow.columns == exploded.columns and narrow.dtypes == exploded.dtypes
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, exploded.collect()))
+    assert "Exchange" not in plan_of(narrow) and "Sort" not in plan_of(narrow)
+
+
 def batches(spark, tmp_path, parts, schema):
     """A stream that gets each part as a batch of its own."""
     source = f"{tmp_path}/in"

@@ -62,7 +62,7 @@ def test_audit_comes_from_the_cleaning_pass(spark):
 
 
 def test_sample_shaped_pair(spark):
-    """A report as the reference's users see it: headings, a wide table with bold sub-headers, a simple table, prose."""
+    """A whole report: headings, a wide table with bold sub-headers, a simple table, prose."""
     raw = (
         "## PHẦN A  \r\n\r\n\r\n\r\n\r\nBáo cáo tháng 5.\t\r\n\r\n"
         "| STT | Nội dung | **Đơn vị** | Q1 | Q2 | Q3 | Q4 | Tổng | Ghi chú |  |\r\n|---|---|---|---|---|---|---|---|---|---|\r\n"

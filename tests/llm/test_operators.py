@@ -345,6 +345,39 @@ def test_jaccard_join_hands_out_pivots_in_blocks(spark, monkeypatch):
     assert got == want and 20 <= sum(x[1] != i for i, x in want.items())
 
 
+def test_regions_of_are_exact_and_prune():
+    """The join of one region against brute force: families far apart or near each other, visitors, equal sets, other thresholds."""
+    rng = np.random.default_rng(12)
+    held = of = 0
+    for _ in range(300):
+        rule, n, shared = J.Rule(int(rng.choice([50, 70, 80, 90]))), int(rng.integers(1, 65)), np.arange(10**6, 10**6 + int(rng.choice([0, 0, 20, 60])))
+        cores = [rng.integers(1, 10**5, 30) for _ in range(rng.integers(1, 8))]
+        sets = []
+        for _ in range(n):
+            own = cores[rng.integers(len(cores))].copy()
+            own[: rng.integers(0, 8)] = rng.integers(1, 10**5)
+            sets.append(np.unique(np.concatenate([shared, own])).astype("<u8"))
+        home = rng.random(n) < rng.choice([0.3, 1, 1])
+        links, regions, pairs = J.regions_of(sets, home, rule)
+        pair = [(a, b) for a in range(n) for b in range(a) if rule.links(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))]
+        assert {(max(x), min(x)) for x in links} <= set(pair)
+        assert components_of(list(range(n)), links) == components_of(list(range(n)), [(a, b) for a, b in pair if home[a] or home[b]])
+        assert regions > 0 or n == 1 or not home.any()
+        held, of = held + pairs, of + n * (n - 1) // 2
+    assert held < 0.7 * of
+
+
+def test_registered_jaccard_join_runs_by_pivots(spark, monkeypatch):
+    """The query on its table: every group of sets takes pivots, which are held against fewer sets than its square."""
+    made, whole = [], J.written
+    monkeypatch.setattr(J, "written", lambda df, name: [x := whole(df, name), made.append((name, x))][0])
+    QUERIES["op9_jaccard_join"](spark, "/root/testdata/sf0.01").count()
+    groups = [x for name, x in made if name == "regions"][0].groupBy("grp").count()
+    counts = [x.where("a = b").agg(F.sum("regions"), F.sum("pairs")).first() for name, x in made if name == "nested"]
+    assert sum(c[0] or 0 for c in counts) >= groups.count() > 0
+    assert 0 < sum(c[1] or 0 for c in counts) < groups.agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+
+
 @pytest.mark.parametrize("far", [True, False])
 def test_regions_join_recursively(spark, monkeypatch, far):
     """Clusters far apart go on in Voronoi regions; sets that all lie near each other are held pair by pair."""

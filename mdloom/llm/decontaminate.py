@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from mdloom.llm.common import mix, pieces, resident, small_batches, written
 
 WINDOW = 13
-FILTER_BITS = 1 << 22
+#: Bits of the filter for each fingerprint of an item, the powers of two it lies between, and the bits that one task packs.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST, FILTER_PART = 64, 16, 27, 1 << 16
 #: Bytes that end a word become spaces; A-Z become a-z; all bytes from 0x80 stay.
 FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -77,8 +78,8 @@ def winnowed(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def fingerprints(lengths: list[int], keep: np.ndarray | None, whole_items: bool):
-    """A mapInArrow function: a row per text and fingerprint (n, hash, place, words around it), or one row without; keep: a
-    bit set that holds the hashes of interest."""
+    """A mapInArrow function: a row per text, fingerprint (n, hash) and words around it, with all its places, or one row
+    without; keep: a bit set that holds the hashes of interest."""
 
     def run(batches):
         import pyarrow as pa
@@ -90,7 +91,7 @@ def fingerprints(lengths: list[int], keep: np.ndarray | None, whole_items: bool)
             begin = np.cumsum(sizes) - sizes
             hashes = np.fromiter((book[w] for x in lists for w in x), np.uint64, int(sizes.sum()))
             owner = np.repeat(np.arange(len(lists)), sizes)
-            rows: list[tuple] = []
+            rows: dict[tuple, list[int]] = {}
             for n in lengths:
                 at, g = winnowed(hashes, owner, n)
                 g = g ^ np.uint64(n)
@@ -98,54 +99,90 @@ def fingerprints(lengths: list[int], keep: np.ndarray | None, whole_items: bool)
                     fit = (sizes[owner[at]] == n) if n < WINDOW else (sizes[owner[at]] >= n)
                     at, g = at[fit], g[fit]
                 if keep is not None:
-                    bit = (g % np.uint64(FILTER_BITS)).astype(np.int64)
+                    bit = (g % np.uint64(8 * len(keep))).astype(np.int64)
                     fit = (keep[bit >> 3] >> (bit & 7)) & 1 > 0
                     at, g = at[fit], g[fit]
                 k, _ = shape(n)
-                for a, h in zip(at.tolist(), g.astype(np.int64).tolist(), strict=True):
-                    i = owner[a]
-                    p = a - int(begin[i])
-                    left = max(0, p - (n - k))
-                    rows.append((i, n, h, p, p - left, b" ".join(lists[i][left : p + n]).decode()))
+                place = at - begin[owner[at]]
+                lead = np.minimum(place, n - k)
+                for i, h, p, before in zip(owner[at].tolist(), g.astype(np.int64).tolist(), place.tolist(), lead.tolist(), strict=True):
+                    rows.setdefault((i, n, h, before, b" ".join(lists[i][p - before : p + n]).decode()), []).append(p)
             seen = {r[0] for r in rows}
-            rows.extend((i, None, None, None, None, None) for i in range(len(lists)) if i not in seen)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            rows.update(((i, None, None, None, None), None) for i in range(len(lists)) if i not in seen)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(pa.array(cols[0], pa.int64())) for c in ("row", "id")), pa.array(sizes[np.array(cols[0], np.int64)]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.string())],
-                ["row", "id", "n_words", "n", "hash", "place", "lead", "around"],
+                [*(batch.column(c).take(pa.array(cols[0], pa.int64())) for c in ("row", "id")), pa.array(sizes[np.array(cols[0], np.int64)]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(rows.values(), pa.list_(pa.int32())), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.string())],
+                ["row", "id", "n_words", "n", "hash", "places", "lead", "around"],
             )
 
     return run
 
 
-SCHEMA = "row long, id long, n_words long, n int, hash long, place int, lead int, around string"
+SCHEMA = "row long, id long, n_words long, n int, hash long, places array<int>, lead int, around string"
 
 
-def run_of(n: int, lead: int, a: list[str], b_lead: int, b: list[str]) -> tuple[int, int] | None:
-    """Equal words before and from the k-gram, if they fill a window."""
-    lo = hi = 0
-    while lo < lead and lo < b_lead and a[lead - lo - 1] == b[b_lead - lo - 1]:
-        lo += 1
-    while lead + hi < len(a) and b_lead + hi < len(b) and a[lead + hi] == b[b_lead + hi]:
-        hi += 1
-    return (lo, hi) if hi >= shape(n)[0] and lo + hi >= n else None
+def bit_set(marks: DataFrame) -> np.ndarray:
+    """The fingerprints of all items modulo the number of bits, as a bit set. It has FILTER_SHARE bits or more for each of them,
+    up to 2 ** FILTER_MOST bits (16 MB); tasks pack a part each, so the driver takes no more than the set's own bytes."""
+    bits = 1 << min(FILTER_MOST, max(FILTER_LEAST, (FILTER_SHARE * marks.count()).bit_length()))
+    bit = marks.select(F.pmod("b_hash", F.lit(bits)).alias("bit")).distinct()
+    parts = bit.groupBy(F.floor(F.col("bit") / FILTER_PART).alias("part")).agg(F.collect_list((F.col("bit") % FILTER_PART).cast("int")).alias("set"))
+
+    def packed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for found in batch.column("set"):
+                flags = np.zeros(FILTER_PART, bool)
+                flags[found.values.to_numpy()] = True
+                out.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(out, pa.binary())], ["part", "packed"])
+
+    keep = np.zeros(bits // 8, np.uint8)
+    size = FILTER_PART // 8
+    for r in parts.mapInArrow(packed, "part long, packed binary").toLocalIterator():
+        keep[r.part * size : (r.part + 1) * size] = np.frombuffer(r.packed, np.uint8)
+    return keep
+
+
+def runs_of(n: np.ndarray, a, a_lead: np.ndarray, b, b_lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of texts a and b, whose k-grams for windows of n words begin at the words a_lead and b_lead: how many equal
+    words stand before and from there on, and whether they fill a window."""
+    import pyarrow as pa
+
+    lists = [pa.compute.split_pattern(x, " ") for x in (a, b)]
+    codes = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode().indices.to_numpy()  # words as numbers
+    back = WINDOW - shape(WINDOW)[0]
+    step = np.arange(-back, WINDOW)
+    sides, begin = [], 0
+    for x, lead, none in zip(lists, (a_lead, b_lead), (-1, -2), strict=True):
+        size = pa.compute.list_value_length(x).to_numpy()
+        at = lead[:, None] + step
+        inside = (at >= 0) & (at < size[:, None])
+        first = begin + np.cumsum(size) - size
+        sides.append(np.where(inside, codes[np.where(inside, first[:, None] + at, 0)], none))
+        begin += int(size.sum())
+    same = sides[0] == sides[1]
+    before = np.logical_and.accumulate(same[:, :back][:, ::-1], axis=1).sum(axis=1)
+    after = np.logical_and.accumulate(same[:, back:], axis=1).sum(axis=1)
+    return before, after, (after >= (n + 2) // 2) & (before + after >= n)
 
 
 def extended(batches):
-    """Joined fingerprints to rows with the run of equal words around the k-gram, or null if it is shorter than a window."""
+    """Joined fingerprints to rows with the equal words before and from the k-gram on, or null if they don't fill a window."""
     import pyarrow as pa
 
     for batch in batches:
         hit = np.flatnonzero(batch.column("b_around").is_valid().to_numpy(zero_copy_only=False))
         found = batch.take(pa.array(hit))
-        n, place, lead, around, b_lead, b_around = (found.column(c).to_pylist() for c in ("n", "place", "lead", "around", "b_lead", "b_around"))
-        first, last, miss = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.ones(batch.num_rows, bool)
-        for i, row in enumerate(hit.tolist()):
-            run = run_of(n[i], lead[i], around[i].split(" "), b_lead[i], b_around[i].split(" "))
-            if run:
-                first[row], last[row], miss[row] = place[i] - run[0], place[i] + run[1] - 1, False
-        item = pa.compute.if_else(pa.array(~miss), batch.column("item"), pa.scalar(None, pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("n_words"), item, pa.array(first, mask=miss), pa.array(last, mask=miss)], ["row", "id", "n_words", "item", "first", "last"])
+        n, lead, b_lead = (found.column(c).to_numpy() for c in ("n", "lead", "b_lead"))
+        before, after, whole = runs_of(n, found.column("around"), lead, found.column("b_around"), b_lead)
+        hit = hit[whole]
+        sizes, miss = np.zeros((2, batch.num_rows), np.int32), np.ones(batch.num_rows, bool)
+        sizes[:, hit], miss[hit] = (before[whole], after[whole]), False
+        kept = [pa.compute.if_else(pa.array(~miss), batch.column(c), pa.scalar(None, batch.column(c).type)) for c in ("item", "places")]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("n_words"), *kept, pa.array(sizes[0], mask=miss), pa.array(sizes[1], mask=miss)], ["row", "id", "n_words", "item", "places", "before", "after"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -157,29 +194,27 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     that repeat an item count once; rows of docs that repeat an id, or have none, are judged one by one; empty tables give no
     rows, or no hits. Ids and texts alone are read, so further columns may have any name. A very long text is taken whole.
 
-    A bit set of fixed size (4 Mbit) over the items' fingerprints thins the documents' fingerprints before the join; a full
-    set would thin less and lose nothing. The join's hot hashes are split by adaptive execution.
+    A bit set over the items' fingerprints (`bit_set`, at most 16 MB) thins the documents' fingerprints before the join; a fuller
+    set would thin less and lose nothing. A fingerprint that a text repeats with the same words around it is one row of the
+    join, so a one-word item makes one row a document; the join's hot hashes are split by adaptive execution.
     """
     small_batches(docs.sparkSession)
     doc = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     item = items.select(F.col(item_col).cast("long").alias("id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"), F.lit(0).cast("long").alias("row"))
     marks = item.mapInArrow(fingerprints(list(range(1, WINDOW + 1)), None, True), SCHEMA).where("hash is not null")
     marks = written(marks.select(F.col("id").alias("item"), F.col("n").alias("b_n"), F.col("hash").alias("b_hash"), F.col("lead").alias("b_lead"), F.col("around").alias("b_around")).distinct(), "fingerprints")
-    keep = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in marks.selectExpr(f"pmod(b_hash, {FILTER_BITS}) as bit").groupBy((F.col("bit") % 64).alias("part")).agg(F.collect_set("bit").alias("bits")).collect():  # at most FILTER_BITS numbers
-        bits = np.array(r.bits, np.int64)
-        np.bitwise_or.at(keep, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
     lengths = sorted(r.b_n for r in marks.select("b_n").distinct().collect())  # at most 13
-    hits = doc.mapInArrow(fingerprints(lengths, keep, False), SCHEMA)
+    hits = doc.mapInArrow(fingerprints(lengths, bit_set(marks), False), SCHEMA)
     hits = hits.withColumn("key", F.coalesce("hash", F.xxhash64("row")))  # rows without a hash spread out
     joined = hits.join(marks, (hits.key == marks.b_hash) & (hits.n == marks.b_n), "left")
-    runs = joined.select("row", "id", "n_words", "n", "place", "lead", "around", "item", "b_lead", "b_around").mapInArrow(extended, "row long, id long, n_words long, item long, first long, last long")
+    runs = joined.select("row", "id", "n_words", "n", "places", "lead", "around", "item", "b_lead", "b_around").mapInArrow(extended, "row long, id long, n_words long, item long, places array<int>, before int, after int")
     runs = runs.groupBy("row").agg(
         F.first("id").alias("id"),
         F.max("n_words").alias("n_words"),
-        F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "last"))).alias("runs"),
+        F.collect_set(F.when(F.col("before").isNotNull(), F.struct("places", "before", "after"))).alias("runs"),
         F.array_sort(F.transform(F.collect_set("item"), lambda x: x.cast("string"))).alias("item_ids"),
     )
-    n_hit = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))))
+    hit = F.transform("runs", lambda r: F.flatten(F.transform(r["places"], lambda p: F.sequence(p - r["before"], p + r["after"] - 1))))
+    n_hit = F.size(F.array_distinct(F.flatten(hit)))
     out = runs.select(F.col("id").alias("doc_id"), "n_words", n_hit.cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))

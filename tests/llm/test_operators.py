@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from mdloom.llm import embedding_links as E
 from mdloom.llm import jaccard_join as J
 from mdloom.llm import language_model as L
 from mdloom.llm import quality as Q
-from mdloom.llm.decontaminate import WordHashes, contamination, words_of
+from mdloom.llm.decontaminate import WordHashes, bit_set, contamination, fingerprints, runs_of, shape, words_of
 from mdloom.llm.embedding_links import embedding_links
 from mdloom.llm.language_model import score_documents
 from mdloom.llm.packing import pack_documents, pack_histogram
@@ -482,6 +483,44 @@ ODD = [(1, "a b c d e f g h " * 12), (3, "a b c d e f g h " * 12), (None, "a b c
 CLASHING = "g int, n long, node long, bucket int, start long, kept string, row long, id string, item long, hash long, suffix string, rate string, first string, score string, label string, training string, kind string"
 
 
+def test_runs_of_equal_words_against_word_by_word():
+    rng = np.random.default_rng(3)
+    cases = []
+    for _ in range(400):
+        n = int(rng.integers(1, 14))
+        back = n - shape(n)[0]
+        sides = [(int(rng.integers(0, back + 1)), int(rng.integers(1, n + 1))) for _ in range(2)]
+        cases.append((n, *((lead, ["a\u00a0b" if x else "\u4e00" for x in rng.random(lead + after) < 0.9]) for lead, after in sides)))
+    n, a, b = zip(*cases, strict=True)
+    leads = [np.array([lead for lead, _ in x], np.int32) for x in (a, b)]
+    before, after, whole = runs_of(np.array(n), pa.array([" ".join(w) for _, w in a]), leads[0], pa.array([" ".join(w) for _, w in b]), leads[1])
+    for i, (size, (p, x), (q, y)) in enumerate(cases):
+        lo = next((j for j in range(min(p, q)) if x[p - j - 1] != y[q - j - 1]), min(p, q))
+        most = min(len(x) - p, len(y) - q)
+        hi = next((j for j in range(most) if x[p + j] != y[q + j]), most)
+        assert (before[i], after[i], whole[i]) == (lo, hi, hi >= shape(size)[0] and lo + hi >= size)
+    assert 20 < whole.sum() < 380
+
+
+def test_filter_grows_with_the_fingerprints(spark):
+    for n, size in ((0, 1 << 16), (3, 1 << 16), (50_000, 1 << 22)):
+        marks = spark.range(n).select(F.xxhash64("id").alias("b_hash"))
+        keep, hashes = bit_set(marks), np.array([r.b_hash for r in marks.collect()], np.int64)
+        want = np.zeros(size, bool)
+        want[hashes % size] = True
+        assert np.array_equal(np.unpackbits(keep, bitorder="little"), want)
+
+
+def test_a_repeated_fingerprint_is_one_row(spark):
+    text = "the " + " ".join(f"w{i} the" for i in range(30))
+    batch = pa.RecordBatch.from_pydict({"row": [7], "id": [1], "text": [text]})
+    rows = [r for b in fingerprints([1], None, False)(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == 31 and max(rows, key=lambda r: len(r["places"]))["places"] == list(range(0, 61, 2))
+    items = spark.createDataFrame([(1, "The"), (2, "the")], "item_id long, text string")
+    found = contamination(spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id long, text string"), items).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in found] == [(61, 31, ["1", "2"], True), (2, 0, [], False)]
+
+
 def odd_table(spark, base, rows, columns):
     """rows with ids from base on, and columns whose names the operators use within."""
     names = [c.split()[0] for c in CLASHING.split(", ")]

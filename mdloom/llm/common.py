@@ -97,16 +97,22 @@ def resident(make, *args):
     return RESIDENT[1]
 
 
-def give_back() -> None:
-    """Freed memory goes to the system, where the C library can do that."""
+def trim() -> None:
+    """Memory freed by arrays goes back to the system, where the C library can do that; takes some milliseconds."""
     import contextlib
     import ctypes
+
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def give_back() -> None:
+    """All freed memory goes to the system, as far as the C library can do that."""
     import gc
 
     gc.collect()
     pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -128,7 +134,8 @@ def join_counted(df: DataFrame, by_key: DataFrame, on: list[str], count: str) ->
 
 
 def pieces(batches: Iterable[pa.RecordBatch], max_bytes: int = 700_000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches with a column text, cut so that each holds about max_bytes of it (or one document)."""
+    """Arrow batches with a column text, cut so that each holds about max_bytes of it (or one document). After each batch the
+    memory that its pieces freed goes back, so that workers that wait for tasks don't hold it."""
     for batch in batches:
         size = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
         at = 0
@@ -136,6 +143,7 @@ def pieces(batches: Iterable[pa.RecordBatch], max_bytes: int = 700_000) -> Itera
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + max_bytes, side="right")))
             yield batch.slice(at, end - at)
             at = end
+        trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

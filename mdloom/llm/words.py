@@ -10,7 +10,7 @@ import numpy as np
 from mdloom.llm.common import spread
 from mdloom.llm.transducer import END, Counter, Splitter, byte_letters
 
-MAX_KNOWN = 600_000
+MAX_KNOWN = 300_000
 
 
 class Growing:

@@ -27,8 +27,8 @@ def query(f):
     return f
 
 
-def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.md_rows(E.md_lines(reports(spark, sf_dir)))
+def tables_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.md_tables(reports(spark, sf_dir))
 
 
 def exported_pages(spark: SparkSession, sf_dir: str) -> str:
@@ -163,7 +163,7 @@ def table_lines(spark, sf_dir):
 
 @query
 def separator_rows(spark, sf_dir):
-    return rows_of(spark, sf_dir).where("is_sep").select("doc_id", "table_no", "row_no", "line")
+    return E.md_rows(tables_of(spark, sf_dir)).where("is_sep").select("doc_id", "table_no", "row_no", "line")
 
 
 @query
@@ -173,7 +173,7 @@ def table_stats(spark, sf_dir):
 
 @query
 def table_stats_exploded(spark, sf_dir):
-    return E.table_stats(rows_of(spark, sf_dir)).drop("is_complex")
+    return E.table_stats(tables_of(spark, sf_dir)).drop("is_complex")
 
 
 @query
@@ -188,71 +188,71 @@ def md_lines(spark, sf_dir):
 
 @query
 def table_blocks(spark, sf_dir):
-    lines = E.md_lines(reports(spark, sf_dir)).where("is_table_line")
-    return lines.groupBy("doc_id", "table_no").agg(F.min("line_no").alias("first_line_no"), F.count("*").alias("n_lines"))
+    runs = E.md_runs(reports(spark, sf_dir)).where("is_table_line")
+    return runs.select("doc_id", "table_no", F.col("start").alias("first_line_no"), F.size("lines").cast("long").alias("n_lines"))
 
 
 @query
 def md_cells(spark, sf_dir):
-    return E.md_cells(rows_of(spark, sf_dir))
+    return E.md_cells(tables_of(spark, sf_dir))
 
 
 @query
 def subheader_rows(spark, sf_dir):
-    return E.subheader_rows(rows_of(spark, sf_dir))
+    return E.subheader_rows(tables_of(spark, sf_dir))
 
 
 @query
 def empty_columns(spark, sf_dir):
-    return E.empty_columns(E.md_cells(rows_of(spark, sf_dir)))
+    return E.empty_columns(tables_of(spark, sf_dir))
 
 
 @query
 def drop_empty_columns(spark, sf_dir):
-    return E.drop_empty_columns(E.md_cells(rows_of(spark, sf_dir)))
+    return E.drop_empty_columns(tables_of(spark, sf_dir))
 
 
 @query
 def column_widths(spark, sf_dir):
-    return E.column_widths(E.drop_empty_columns(E.md_cells(rows_of(spark, sf_dir))))
+    return E.column_widths(tables_of(spark, sf_dir))
 
 
 @query
 def header_names(spark, sf_dir):
-    return E.header_names(rows_of(spark, sf_dir))
+    return E.header_names(tables_of(spark, sf_dir))
 
 
 @query
 def table_records(spark, sf_dir):
-    return E.table_records(rows_of(spark, sf_dir)).select("doc_id", "table_no", "row_no", "data_row_no")
+    return E.table_records(tables_of(spark, sf_dir)).select("doc_id", "table_no", "row_no", "data_row_no")
 
 
 @query
 def md_fields(spark, sf_dir):
-    return E.md_fields(rows_of(spark, sf_dir))
+    return E.md_fields(tables_of(spark, sf_dir))
 
 
 @query
 def format_cells(spark, sf_dir):
-    cells = E.md_cells(rows_of(spark, sf_dir)).where("col_no is not null")
+    cells = E.md_cells(tables_of(spark, sf_dir)).where("col_no is not null")
     return cells.select("doc_id", "table_no", "row_no", "col_no", X.format_cell("cell").alias("formatted"))
 
 
 @query
 def structured_items(spark, sf_dir):
     """The list items of every cell of more than one line."""
-    fields = E.md_fields(rows_of(spark, sf_dir)).where("is_multiline")
+    fields = E.md_fields(tables_of(spark, sf_dir)).where("is_multiline")
     return fields.select("doc_id", "table_no", "data_row_no", "col_no", X.items(X.format_cell("value")).alias("items"))
 
 
 @query
 def structured_lists(spark, sf_dir):
-    return E.structured_lists(rows_of(spark, sf_dir))
+    return E.structured_lists(tables_of(spark, sf_dir))
 
 
 @query
 def rebuild_tables(spark, sf_dir):
-    return E.rebuild_tables(rows_of(spark, sf_dir))
+    return E.rebuild_tables(tables_of(spark, sf_dir))
 
 
 @query
@@ -290,17 +290,15 @@ def raw_vs_clean(spark, sf_dir):
 
 @query
 def lost_content(spark, sf_dir):
-    docs = reports(spark, sf_dir)
-    return E.lost_content(docs, docs.select("doc_id", N.clean_markdown("content").alias("content")))
+    return E.lost_words(reports(spark, sf_dir).select("doc_id", "content", N.clean_markdown("content").alias("content_clean")))
 
 
 @query
 def planted_losses(spark, sf_dir):
     """What is found missing when every fifth document loses its last line."""
-    docs = reports(spark, sf_dir)
-    whole = N.clean_markdown("content")
-    cut = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace(whole, r"\n[^\n]*\z", "")).otherwise(whole)
-    return E.lost_content(docs, docs.select("doc_id", cut.alias("content")))
+    docs = reports(spark, sf_dir).select("doc_id", "content", N.clean_markdown("content").alias("whole"))
+    cut = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("whole", r"\n[^\n]*\z", "")).otherwise(F.col("whole"))
+    return E.lost_words(docs.select("doc_id", "content", cut.alias("content_clean")))
 
 
 @query

@@ -146,3 +146,20 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint.dir"):
         shared_folder(Session, "x")
+
+
+def test_tables_need_no_shuffle_or_sort_and_lines_from_elsewhere_give_the_same(spark, tmp_path):
+    odd = [(1, ""), (2, "|"), (3, "| a |\r\n|-|\r\n| b |\r\nx\n  | c | ** |\n|  |  |\n|--|"), (4, "|-|\n|-|\n| a |\n|-|\n| **b** |\n| c  d |"), (5, "a\n" * 3), (6, "|-|\n|--|"), (7, "| a |\n" * 3 + "\n| b |")]
+    spark.createDataFrame(odd, "doc_id long, content string").unionByName(reports(spark, DATA).selectExpr("doc_id + 100 as doc_id", "content")).write.parquet(f"{tmp_path}/odd")
+    docs = spark.read.parquet(f"{tmp_path}/odd")
+    tables, lines, rows = E.md_tables(docs), E.md_lines(docs).repartition(5), E.md_rows(E.md_lines(docs)).repartition(5)
+    for f in (E.md_rows, E.md_cells, E.subheader_rows, E.empty_columns, E.drop_empty_columns, E.column_widths, E.header_names, E.table_records, E.md_fields, E.structured_lists, E.rebuild_tables, E.table_stats):
+        out = f(tables)
+        plan = plan_of(out)
+        assert not re.search("Exchange|Sort|Window|Aggregate", plan), f.__name__
+        want = sorted(map(str, out.collect()))
+        assert want and want == sorted(map(str, f(lines if f is E.md_rows else rows).collect())), f.__name__
+    lost = E.lost_words(docs.withColumn("after", F.expr("substring(content, 1, 40)")), "content", "after")
+    assert not re.search("Exchange|Sort|Window|Aggregate", plan_of(lost))
+    other = E.lost_content(docs, docs.selectExpr("doc_id", "substring(content, 1, 40) as content"))
+    assert lost.count() and sorted(map(str, lost.collect())) == sorted(map(str, other.collect()))

@@ -293,6 +293,25 @@ def test_scores_are_calibrated(scanner):
     assert abs(np.mean(chance) - np.mean(hit)) < 0.05
 
 
+def test_learning_takes_every_chunk(spark):
+    """Thresholds come from all held-back findings, and each chunk to learn from is in a bucket, one of a rare label in several."""
+    rows = list(enumerate(made_up(random.Random(14), 4000)))
+    docs = extended(spark, rows, "doc_id long, text string")
+    scanner = S.learn_secrets(docs)
+    chunks = S.labelled_chunks(docs).selectExpr("chunk", "label", "xxhash64(chunk) as hash").distinct().selectExpr("*", "pmod(shiftright(hash, 20), 4) = 0 as held")
+    held = chunks.where("held").collect()
+    x, y = S.windows_of([bytes(r.chunk) for r in held], [r.label for r in held])
+    logits = scanner.network.logits(x).astype(float)
+    for k in range(3):
+        chance = scanner.probability(logits[:, k], k)[y[:, k] > 0]
+        assert len(chance) > 200 and abs((chance >= scanner.threshold[k] - 1e-9).sum() - np.ceil(S.RECALL * len(chance))) <= 1
+    learn = chunks.where("not held")
+    sizes = dict(learn.groupBy("label").count().collect())
+    buckets = S.dealt(learn, sizes).collect()
+    assert sum(n for k, n in sizes.items() if k) > 2000 and {bytes(c) for r in buckets for c in r.chunk} == {bytes(r.chunk) for r in learn.collect()}
+    assert len(buckets) > 1 and all(set(r.label) == set(sizes) for r in buckets)
+
+
 def test_findings_over_odd_rows(spark, scanner):
     rows = [(1, None), (2, ""), (3, "secret: abcdefgh"), (3, "secret: abcdefgh"), (None, "AKIA" + "A1" * 8), (2**60, "é token='" + "f" * 40 + "' 😀 " + "0" * 32), (5, "a1" * 1_500_000), (6, "word " * 400_000)]
     got = S.find_secrets(extended(spark, rows, "doc_id long, text string"), scanner).collect()

@@ -33,6 +33,15 @@ def test_a_timer_closes_each_burst_once(spark, tmp_path):
     assert last.stateOperators[0].numRowsTotal <= 4, left  # z's burst: a list of one, its counter, and the timer in two indexes
 
 
+def test_a_key_has_one_timer_however_many_bursts(spark, tmp_path):
+    day = [("k", f"2024-01-01 {h:02d}:{m:02d}:00", f"{h}:{m}") for h in range(24) for m in range(0, 60, 10)]
+    edits = batches(spark, tmp_path, [day[::-1], [("z", "2024-01-01 12:05:00", "late"), ("k", "2024-01-02 00:00:00", "x")]], "key string, at string, content string").selectExpr("key", "cast(at as timestamp) as ts", "content")
+    with T.with_state_store(spark):
+        rows, last = run(T.debounced_by_timer(edits, timedelta(seconds=2), "12 hours"), "day", "append")
+    assert sorted((r.key, r.content) for r in rows) == sorted(("k", c) for _, at, c in day if at < "2024-01-01 12")
+    assert last.stateOperators[0].numRowsTotal <= 90  # k's open bursts and z's, and two rows of a timer for each key; 74 timers would be 148 more
+
+
 def test_jobs_that_end_leave_no_state(spark, tmp_path):
     first = [(f"j{i}", "2024-01-01 00:00:00", "uploading") for i in range(200)] + [("old", "2024-01-01 00:00:00", "extracting")]
     second = [(f"j{i}", "2024-01-01 00:10:00", "complete" if i % 2 else "error") for i in range(199)] + [("j199", "2024-01-01 00:10:00", "formatting")]

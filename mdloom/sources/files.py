@@ -20,6 +20,8 @@ DOCUMENT_EXTENSIONS = (".pdf", ".docx", ".doc", ".pptx", ".html")
 MARKDOWN_EXTENSIONS = (".md", ".markdown", ".txt")
 #: Seconds that one file may take a converter.
 TIME_LIMIT = 300.0
+#: What opening a file counts for, in bytes, where a scan is parted into tasks.
+OPEN_COST = 256 << 10
 LEDGER = "job_id string, source_path string, original_filename string, ext string, status string, error string, markdown string"
 
 
@@ -33,6 +35,18 @@ def any_case(extensions: tuple[str, ...]) -> str:
     return "{" + ",".join(f"*{ext}" for ext in letters) + "}"
 
 
+@contextmanager
+def many_files(spark: SparkSession):
+    """Scans that run within take some 500 small files to a task where there are many, not 31 as by Spark's usual cost of opening a file
+    (4 MB, of 128 MB to a task), so that tasks don't outweigh their work; the session's own choice is put back."""
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
 def document_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = DOCUMENT_EXTENSIONS, stream: bool = False, per_batch: int | None = None) -> DataFrame:
     """path, original_filename, ext, modified, length, content of the files that can be converted, as a table or as a stream of
     those that arrive; the suffix counts in any case."""

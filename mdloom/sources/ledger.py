@@ -13,18 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdloom.session import shared_folder
-from mdloom.sources.files import DOCUMENT_EXTENSIONS, LEDGER, convert_jobs, document_files, job_ledger
+from mdloom.sources.files import DOCUMENT_EXTENSIONS, LEDGER, convert_jobs, document_files, job_ledger, many_files
 
 SEEN = "source_path string, modified timestamp, length long, job_id string"
 Converters = dict[str, Callable[[bytes], str]]
 
 
 def stored(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """A table of the ledger with its column run; empty where nothing was written yet."""
+    """A table of the ledger with its column run; where nothing was written yet, one that Spark knows to be empty, so that no join
+    with it moves anything."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     full = f"{schema}, run long"
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], full)
+        return spark.createDataFrame([], full).where(F.lit(False))
     return spark.read.schema(full).parquet(f"{folder}/{name}")
 
 
@@ -54,7 +55,8 @@ def take_in(files: DataFrame, folder: str, run: int, converters: Converters | No
     jobs = job_ledger(files).join(known, "job_id", "left").withColumn("content", F.when(F.col("known").isNull(), F.col("content")))
     staging = shared_folder(spark, "run")
     staged = convert_jobs(jobs, converters)
-    staged.write.parquet(staging)
+    with many_files(spark):
+        staged.write.parquet(staging)
     staged = spark.read.schema(staged.schema).parquet(staging)
     columns = [c.split()[0] for c in LEDGER.split(", ")]
     once = staged.where("known is null").groupBy("job_id").agg(F.min_by(F.struct(*columns), "source_path").alias("row"))
@@ -65,19 +67,29 @@ def take_in(files: DataFrame, folder: str, run: int, converters: Converters | No
 def convert_new(spark: SparkSession, source: str, folder: str, converters: Converters | None = None, extensions: tuple[str, ...] = DOCUMENT_EXTENSIONS) -> int:
     """Take in what is new or changed in source since the last run; returns the run's number, or that of the last if nothing is.
 
-    Files are first told apart by path, time and length, for which no content is read. Only contents from the time of the
-    oldest new file on are then read (a filter that reaches the scan), so a run over a large folder reads what came in.
+    The folder is listed once. Where files are known, the others are first told apart by path, time and length, for which no content
+    is read. Only contents from the time of the oldest new file on are then read (a filter that reaches the scan), so a run over a
+    large folder reads what came in. They are held against known files only where one of these is as late as that.
     """
     seen = seen_files(spark, folder)
     last = seen.agg(F.max("run")).first()[0] or 0
-    listed = document_files(spark, source, extensions).select("path", "modified", "length")
-    version = (F.col("path") == F.col("source_path")) & listed.modified.eqNullSafe(seen.modified) & listed.length.eqNullSafe(seen.length)
-    fresh = listed.join(seen, version, "left_anti")
-    since = fresh.agg(F.min("modified")).first()[0]
-    if since is None:
-        return last
-    contents = document_files(spark, source, extensions).where(F.col("modified") >= F.lit(since))
-    take_in(contents.join(fresh.select("path"), "path", "left_semi"), folder, last + 1, converters)
+    files = document_files(spark, source, extensions)
+    listed = files.select("path", "modified", "length")
+
+    def unseen(df: DataFrame, known: DataFrame) -> DataFrame:
+        version = (df.path == known.source_path) & df.modified.eqNullSafe(known.modified) & df.length.eqNullSafe(known.length)
+        return df.join(known, version, "left_anti")
+
+    with many_files(spark):
+        if last:
+            since = unseen(listed, seen).agg(F.min("modified")).first()[0]
+            if since is None:
+                return last
+            files, late = files.where(F.col("modified") >= F.lit(since)), seen.where(F.col("modified") >= F.lit(since))
+            files = files if late.first() is None else unseen(files, late)
+        elif listed.first() is None:
+            return last
+    take_in(files, folder, last + 1, converters)
     return last + 1
 
 

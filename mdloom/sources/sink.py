@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+#: Folders of attempts that are moved at once.
+MOVERS = 16
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -48,10 +52,13 @@ class FileWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         system, root, temporary = self.place()
-        for message in messages:
-            if message is not None:
-                for file in system.get_file_info(fs.FileSelector(message.folder)):
-                    system.move(file.path, f"{root}/{file.base_name}")
+
+        def move(message: Written) -> None:
+            for file in system.get_file_info(fs.FileSelector(message.folder)):
+                system.move(file.path, f"{root}/{file.base_name}")
+
+        with ThreadPoolExecutor(MOVERS) as pool:
+            list(pool.map(move, filter(None, messages)))  # the list raises what a move raised
         self.clear(system, temporary)
 
     def abort(self, messages: list[Written | None]) -> None:

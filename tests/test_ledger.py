@@ -58,6 +58,31 @@ def test_only_what_changed_is_converted(spark, place):
     assert now == {"a.docx": "text of a two", "b.docx": "text of b", "sub/b.docx": "text of b", "bad.docx": None, "p.html": "x", "c.docx": "text of c", "sub/c.docx": "text of c"}
 
 
+def test_a_run_lists_its_folder_once_and_holds_contents_against_late_files_only(spark, place, monkeypatch):
+    source, ledger, calls, met = f"file://{place}/in", f"file://{place}/ledger", [], []
+    monkeypatch.setattr(L, "document_files", lambda *a, **k: calls.append(a) or document_files(*a, **k))
+    take_in = L.take_in
+    monkeypatch.setattr(L, "take_in", lambda files, *a: met.append(files._jdf.queryExecution().optimizedPlan().toString()) or take_in(files, *a))
+
+    def put(name, at):
+        (place / "in" / name).write_bytes(f"<p>{name}".encode())
+        os.utime(place / "in" / name, (at, at))
+
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    for run, files in enumerate(([("a.html", 1000), ("b.html", 2000)], [("c.html", 3000), ("d.html", 3000)], [("e.html", 3000), ("f.html", 1500), ("a.html", 1000.5)]), 1):
+        for name, at in files:
+            put(name, at)
+        assert L.convert_new(spark, source, ledger) == run and len(calls) == run
+        assert ("Join" in met[-1]) == (run == 3)  # only then are known files as late as new ones
+    assert L.convert_new(spark, source, ledger) == 3 and len(calls) == 4 and len(met) == 3
+    seen = sorted((os.path.basename(r.source_path), r.run) for r in L.seen_files(spark, ledger).collect())
+    assert seen == [("a.html", 1), ("a.html", 3), ("b.html", 1), ("c.html", 2), ("d.html", 2), ("e.html", 3), ("f.html", 3)]
+    assert [(r[0], r[4]) for r in table(spark, ledger)] == [("a.html", 1), ("b.html", 1), ("c.html", 2), ("d.html", 2), ("e.html", 3), ("f.html", 3)]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+    empty = L.stored_jobs(spark, f"file://{place}/none")
+    assert "LocalRelation <empty>" in empty._jdf.queryExecution().optimizedPlan().toString() and empty.columns[-1] == "run"
+
+
 def test_a_run_that_is_done_again_replaces_itself(spark, place):
     source, ledger = f"file://{place}/in", f"file://{place}/ledger"
     (place / "in" / "p.html").write_bytes(b"<p>x")

@@ -407,6 +407,46 @@ def test_regions_join_recursively(spark, monkeypatch, far):
     assert (not stuck or max(stuck) < 150) if far else max(stuck) > 250
 
 
+def test_tally_holds_what_is_shared(spark, monkeypatch):
+    """A document without a shingle of another one, and a copy of an earlier text, take no room in the tally, whatever the buckets."""
+    rng = random.Random(6)
+    alone = [(i, " ".join(f"a{rng.randrange(10**9)}" for _ in range(60))) for i in range(40)]
+    near = [(50, alone[3][1] + " more")]
+    copies = [(60 + i, alone[5][1]) for i in range(10)]
+    made, whole = {}, J.written
+    monkeypatch.setattr(J, "written", lambda df, name: made.setdefault(name, whole(df, name)))
+    got = {(r.doc_id, r.component_id) for r in J.jaccard_components(spark.createDataFrame(alone + near + copies, "doc_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(40)} | {(50, 3)} | {(60 + i, 5) for i in range(10)}
+    told = made["tallies"].where("g >= 0 and g < " + spark.conf.get("spark.sql.shuffle.partitions")).collect()
+    assert {i for r in told for i in common.unpack(r["rows"], "<i8", "<u4")[0].tolist()} == {3, 50}
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_copies_are_marked_by_row(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_IDS", limit)
+    rows = [(4, "x y"), (2, "x y"), (2, "x y"), (2, "z"), (None, "x y"), (7, "z"), (9, "Z"), (1, "")]
+    got = J.marked_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == Counter((i, t, i in (4, 7)) for i, t in rows)
+
+
+@pytest.mark.parametrize("block", [1, 2 << 20])
+def test_pairs_move_in_blocks_of_bytes(spark, monkeypatch, block):
+    """Sets of 4 KB that are held pair by pair: each goes to two blocks where these may hold 2 MB, and to six of 16 sets."""
+    rng = np.random.default_rng(13)
+    cores = [np.concatenate([np.arange(1, 420), rng.integers(1000, 2**62, 100)]) for _ in range(30)]
+    sets = {i: np.unique(np.where(rng.random(519) < 0.004, rng.integers(1000, 2**62, 519), cores[i % 30])).astype("<u8") for i in range(90)}
+    monkeypatch.setattr(J, "CHUNK", 16)
+    monkeypatch.setattr(J, "BLOCK_BYTES", block)
+    monkeypatch.setattr(J, "BLOCKS", 1)
+    made, whole, links = [], J.written, []
+    monkeypatch.setattr(J, "written", lambda df, name: [x := whole(df, name), made.append((name, x))][0])
+    frame = whole(spark.createDataFrame([(4, i, True, i % 30, x.tobytes()) for i, x in sets.items()], "region long, node long, home boolean, label long, shingles binary").withColumn("size", F.lit(90)), "members")
+    J.pair_by_pair(frame, lambda key, some, others: links.append(0) or some[["node"]].head(0).assign(b=0).rename(columns={"node": "a"}))
+    moved = [x.count() for name, x in made if name == "some"]
+    assert moved == [87 * 2 if block > 1 else 87 * 6]
+
+
 def test_embedding_links(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 24))
